@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.llm import setjoin, topn, trie
+from pairloom.llm import mixing, packing, quality, setjoin, tokens, topn, trie
+from pairloom.sources.scratch import materialize
 from pairloom.sources.tables import table
 
 
@@ -59,6 +60,38 @@ def p5_links(spark, folder):
     return links.select("key", "n_links")
 
 
+def p6_packed(spark, folder):
+    """The container of each document, or piece of one, for every capacity."""
+    sizes = tokens.token_counts(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return packing.pack(materialize(sizes), "doc_id", "n_tokens", table(spark, folder, "pack_sizes"), "pack", "capacity")
+
+
+def p6_fill(spark, folder):
+    """How well the containers of each capacity are filled."""
+    return packing.fill_summary(p6_packed(spark, folder), table(spark, folder, "pack_sizes"), "pack", "capacity")
+
+
+def p7_mixed(spark, folder):
+    """The chosen documents with their repeats, with the target and the reached share of their source."""
+    chosen, shares = mixing.mix(table(spark, folder, "documents"), "doc_id", "text", "source", table(spark, folder, "mix_targets"))
+    return chosen.join(F.broadcast(shares.select("source", "target_share", "share")), "source")
+
+
+def p7_shares(spark, folder):
+    """The share that each source reached."""
+    return mixing.mix(table(spark, folder, "documents"), "doc_id", "text", "source", table(spark, folder, "mix_targets"))[1]
+
+
+def p8_found(spark, folder):
+    """Documents more than half of whose characters are in lists, tables or junk."""
+    return p8_statistics(spark, folder).where("not is_prose").select("doc_id")
+
+
+def p8_statistics(spark, folder):
+    """The text statistics of every document."""
+    return quality.text_statistics(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words"))
+
+
 TOP_ITEMS = """
 with items as (
   select id2, unnest(id1_list) as id1, unnest(list_resize(coalesce(scores, []::float[]), len(id1_list))) as score from predicate_out
@@ -82,6 +115,12 @@ QUERIES = {
     "p4_frequencies": p4_frequencies,
     "p5_found": p5_found,
     "p5_links": p5_links,
+    "p6_packed": p6_packed,
+    "p6_fill": p6_fill,
+    "p7_mixed": p7_mixed,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_statistics": p8_statistics,
 }
 
 SQL = {
