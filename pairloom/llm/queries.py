@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.llm import mixing, packing, quality, setjoin, tokens, topn, trie
+from pairloom.llm import matching, mixing, packing, quality, setjoin, tokens, topn, trie
 from pairloom.sources.scratch import materialize
 from pairloom.sources.tables import table
 
@@ -23,6 +23,20 @@ def p1_top(spark, folder):
     return best.select("id1", "id2", "score", rank.alias("rank"))
 
 
+def p3_matches(spark, folder):
+    """Pairs of works with the confidence that they are the same."""
+    names = {r["name"]: r["short"] for r in table(spark, folder, "name_map").where("name is not null and short is not null").limit(100_000).collect()}
+    compared = table(spark, folder, "bootleg_sim").where("not invert").select("index_col", "search_col").distinct().orderBy("index_col", "search_col").collect()
+    people = [matching.TextField(f"names{i}", r["index_col"], r["search_col"], 128, 0.6, names, near_number=True) for i, r in enumerate(compared)]
+    fields = (matching.TextField("title", "title", "title", 256), matching.TextField("description", "description", "description", 192, 0.6), *people)
+    return matching.match_records(table(spark, folder, "table_a"), table(spark, folder, "table_b"), "_id", fields, "year", "venue")
+
+
+def p3_found(spark, folder):
+    """Pairs of works that are more likely the same than not."""
+    return p3_matches(spark, folder).where("confidence >= 0.5").select("id1", "id2")
+
+
 def p4_found(spark, folder):
     """Tokens that are too rare or too common."""
     marked = trie.marked_frequencies(table(spark, folder, "token_bags"), "_id", "tok")
@@ -111,6 +125,8 @@ marked as (select tok, occurrences, records,
 QUERIES = {
     "p1_found": p1_found,
     "p1_top": p1_top,
+    "p3_found": p3_found,
+    "p3_matches": p3_matches,
     "p4_found": p4_found,
     "p4_frequencies": p4_frequencies,
     "p5_found": p5_found,
