@@ -122,6 +122,25 @@ marked as (select tok, occurrences, records,
   case when records <= 2 then 'rare' when records > 0.2 * (select count(distinct _id) from held) then 'common' end as mark from counts)
 """
 
+def _alike(sets, other=None):
+    """SQL for (a, b) of the rows r of ``sets`` (r, s) whose sets share at least 70 percent of their union; within one table r < r."""
+    two = other or sets
+    order = "" if other else " and x.r < y.r"
+    return f"""(with x as (select r, len(s) as n, unnest(s) as t from {sets}), y as (select r, len(s) as n, unnest(s) as t from {two}),
+m as (select x.r as a, y.r as b, x.n as na, y.n as nb, count(*) as o from x join y on x.t = y.t{order} group by all)
+select a, b from m where 10 * o >= 7 * (na + nb - o))"""
+
+
+LISTS = """
+with held as (select distinct id2, list_sort(list_distinct(list_filter(id1_list, lambda i: i is not null))) as s from result_lists where id2 is not null),
+lists as (select row_number() over () as r, s from (select distinct s from held where len(s) > 0))
+"""
+
+NAMES = """
+{0}_words as (select _id, unnest(regexp_extract_all(lower(authors), '[a-z][a-z]+')) as w from table_{0}),
+{0}_sets as (select _id as r, list(distinct coalesce(short, w)) as s from {0}_words left join (select name, min(short) as short from name_map group by 1) on name = w group by 1)
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_top": p1_top,
@@ -142,6 +161,14 @@ QUERIES = {
 SQL = {
     "p1_found": TOP_ITEMS + "select id1, id2 from ranked where rank <= 10",
     "p1_top": TOP_ITEMS + "select id1, id2, score, rank from ranked where rank <= 10",
+    "p5_found": LISTS
+    + f", links as {_alike('lists')}, same as (select a, b from links union all select r, r from lists), classes as (select id2, r from held join lists using (s)), "
+    + NAMES.format("a") + "," + NAMES.format("b")
+    + f"""select distinct 'id1_list' as field, least(x.id2, y.id2) as key1, greatest(x.id2, y.id2) as key2 from same join classes x on x.r = a join classes y on y.r = b where x.id2 <> y.id2
+union all select 'authors', a, b from {_alike('a_sets', 'b_sets')}""",
+    "p5_links": LISTS
+    + f", links as {_alike('lists')}, ends as (select a as r from links union all select b from links), counts as (select r, count(*) as n from ends group by 1)"
+    + "select id2 as key, coalesce(n, 0) as n_links from held join lists using (s) left join counts using (r)",
     "p4_found": TERMS + "select tok, mark from marked where mark is not null",
     "p4_frequencies": TERMS + "select tok, occurrences, records, mark from marked",
 }
