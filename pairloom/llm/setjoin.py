@@ -31,7 +31,7 @@ def _classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     hashed = materialize(hashed)
     sets = hashed.groupBy("h1", "h2").agg(F.first("toks").alias("toks"))
     sets = materialize(sets.withColumn("sid", F.monotonically_increasing_id()))
-    members = hashed.select("side", "key", "h1", "h2").join(sets.select("h1", "h2", "sid"), ["h1", "h2"])
+    members = hashed.select("side", "key", "h1", "h2").distinct().join(sets.select("h1", "h2", "sid"), ["h1", "h2"])
     return sets.select("sid", "toks"), materialize(members.select("side", "key", "sid"))
 
 
@@ -47,7 +47,7 @@ def similar_sets(left: DataFrame, right: DataFrame | None, key: str, values: str
     def read(df, side):
         toks = F.array_sort(F.array_distinct(F.filter(F.col(f"`{values}`"), lambda x: x.isNotNull())))
         rows = df.select(F.lit(side).alias("side"), F.col(f"`{key}`").alias("key"), toks.alias("toks"))
-        return rows.where(F.col("key").isNotNull() & (F.size("toks") > 0)).distinct()
+        return rows.where(F.col("key").isNotNull() & (F.size("toks") > 0))
 
     records = read(left, 1) if right is None else read(left, 1).unionByName(read(right, 2))
     sets, members = _classes(records)
@@ -61,7 +61,7 @@ def similar_sets(left: DataFrame, right: DataFrame | None, key: str, values: str
         one, two = placed.where("in1"), placed.where("in2")
         pairs = setsim.candidates(one, two, "jaccard", threshold).where("s1 <> s2")
         pairs = pairs.select(F.least("s1", "s2").alias("s1"), F.greatest("s1", "s2").alias("s2")).distinct()
-    links = setsim.verified(materialize(pairs), ordered, ordered, "jaccard", threshold)
+    links = setsim.verified(pairs, ordered, ordered, "jaccard", threshold)
     return SimilarSets(materialize(links), members)
 
 
@@ -73,7 +73,10 @@ def record_pairs(found: SimilarSets, two_tables: bool) -> DataFrame:
     score = found.links
     both = score.select("s1", "s2", "score")
     turned = score.select(F.col("s2").alias("s1"), F.col("s1").alias("s2"), "score")
-    same = found.members.select(F.col("sid").alias("s1"), F.col("sid").alias("s2"), F.lit(1.0).alias("score")).distinct()
+    # Within a class there are pairs only if it has two members, or one on either side.
+    other = F.col("n2") > 0 if two_tables else F.lit(True)
+    sizes = found.members.groupBy("sid").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 2).alias("n2"))
+    same = sizes.where((F.col("n") > 1) & other).select(F.col("sid").alias("s1"), F.col("sid").alias("s2"), F.lit(1.0).alias("score"))
     left = found.members.where("side = 1").select(F.col("sid").alias("s1"), F.col("key").alias("key1"))
     right = found.members.where(f"side = {2 if two_tables else 1}").select(F.col("sid").alias("s2"), F.col("key").alias("key2"))
     if two_tables:
