@@ -83,8 +83,8 @@ def fit_classifier(documents: DataFrame, sources: list[str], text: str, label: s
     number = F.array_position(F.array(*[F.lit(s) for s in sources]), F.col(label)) - 1
     held = documents.select(number.cast("int").alias("label"), F.col(text).alias("text")).where("label >= 0 and text is not null")
     total = documents.where(F.col(label).isNotNull()).count()
-    if total > sample:
-        held = held.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * sample / total))
+    if total > sample:  # the limit holds the bound where many rows have the same text
+        held = held.where(F.pmod(F.xxhash64("text"), F.lit(2**62)) < int(2**62 * sample / total)).limit(2 * sample)
     rows = held.mapInArrow(_tokens_of(vocabulary), "label int, tokens binary").collect()
     rows.sort(key=lambda r: (r["tokens"], r["label"]))
     rows = [rows[i] for i in np.random.default_rng(0).permutation(len(rows))]

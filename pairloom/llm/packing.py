@@ -121,7 +121,8 @@ def pack(sizes: DataFrame, item: str, size: str, packs: DataFrame, pack_name: st
     place = F.monotonically_increasing_id() % 1024
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("item", place), F.lit(shards)).cast("int"))
     kinds = packs.select(F.col(f"`{pack_name}`").alias("pack"), F.col(f"`{capacity}`").cast("long").alias("capacity")).where("capacity > 0")
-    if kinds.limit(1001).count() > 1000:
+    n_kinds = kinds.limit(1001).count()
+    if n_kinds > 1000:
         raise ValueError("more than 1,000 capacities")
     kind = sizes.schema[item].dataType.simpleString()
 
@@ -136,6 +137,9 @@ def pack(sizes: DataFrame, item: str, size: str, packs: DataFrame, pack_name: st
         return out.assign(pack=frame["pack"].iat[0])[["pack", "container", "item", "piece", "tokens"]]
 
     spread = rows.crossJoin(F.broadcast(kinds))
+    # The rows are small and the work on them is not: the partitions are counted by shards and not by size.
+    tasks = min(shards * max(n_kinds, 1), 8 * max(sizes.sparkSession.sparkContext.defaultParallelism, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    spread = spread.repartition(tasks, "shard", "pack", "capacity")
     packed = spread.groupBy("shard", "pack", "capacity").applyInPandas(run, f"pack string, container long, item {kind}, piece int, tokens long")
     return packed.withColumnRenamed("item", item)
 
