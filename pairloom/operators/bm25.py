@@ -1,33 +1,72 @@
-"""BM25 top-k join."""
+"""BM25 top-k join.
+
+A token that stands in very many records adds little to a score, yet most of the work. The records
+that share a rarer token with the query are scored by the rarer tokens first. The k-th best of these
+scores is a lower bound of what the k best reach; if the frequent tokens together cannot reach it,
+no record outside the candidates can be among the k best, and the frequent tokens are looked up for
+the remaining candidates only. For other queries as many of the most frequent tokens are looked up
+last as together stay below that bound, which is exact again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.tokenizers import Tokenizer
 from pairloom.operators.topk import top_k
+from pairloom.sources.scratch import materialize
 
 K1, B = 1.2, 0.75
+#: Tokens in more than this share of the index records are looked up last.
+FREQUENT = 0.05
+#: Scores are compared after rounding to six places; bounds keep a distance above that.
+MARGIN = 1e-5
 
 
 def bm25_top_k(index: DataFrame, search: DataFrame, index_col: str, search_col: str, tokenizer: Tokenizer, k: int) -> DataFrame:
     """(id1, id2, score, rank): for each search record (id, text) the ``k`` best index records that share a token.
 
     Statistics are global over the index records with a text. Each distinct query token counts once.
-    Scores are rounded to six places before ranking; equal ones go to the smaller id1.
+    Scores are rounded to six places before ranking; equal ones go to the smaller id1. The result is
+    exact. Token statistics and first candidates are computed when this is called.
     """
     docs = index.select(F.col("id").alias("id1"), tokenizer.tokens(F.col(index_col)).alias("toks")).where("toks is not null")
     docs = docs.withColumn("dl", F.size("toks"))
     stats = docs.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    postings = docs.select("id1", "dl", F.explode("toks").alias("tok")).groupBy("tok", "id1", "dl").agg(F.count("*").alias("tf"))
-    found = postings.groupBy("tok").agg(F.count("*").alias("df"))
-    asked = search.select(F.col("id").alias("id2"), F.explode(tokenizer.token_set(F.col(search_col))).alias("tok"))
-    # The weight goes to the queries: the postings are read once and nothing is joined to them before the match.
-    weighed = asked.join(found, "tok").crossJoin(F.broadcast(stats))
-    idf = F.log(1.0 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = weighed.select("id2", "tok", idf.alias("idf"), "avgdl")
+    counted = docs.select("id1", "dl", F.explode("toks").alias("tok")).groupBy("tok", "id1", "dl").agg(F.count("*").alias("tf"))
     share = F.col("tf") / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
-    met = weighed.join(postings, "tok").select("id1", "id2", (F.col("idf") * share).alias("part"))
-    scored = met.groupBy("id1", "id2").agg(F.round(F.sum("part"), 6).alias("score"))
-    return top_k(scored, k)
+    postings = materialize(counted.crossJoin(F.broadcast(stats)).select("tok", "id1", share.alias("share")))
+    found = postings.groupBy("tok").agg(F.count("*").alias("df"), F.max("share").alias("most")).crossJoin(F.broadcast(stats))
+    idf = F.log(1.0 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = found.select("tok", idf.alias("idf"), (idf * F.col("most")).alias("bound"), (F.col("df") > F.col("docs") * FREQUENT).alias("late"))
+    asked = search.select(F.col("id").alias("id2"), F.explode(tokenizer.token_set(F.col(search_col))).alias("tok"))
+    asked = materialize(asked.join(weights, "tok"))
+
+    whole = Window.partitionBy("id2").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def candidates(queries: DataFrame) -> DataFrame:
+        """(id1, id2, part, kth, rest): scores by the tokens not marked late, the k-th of them, what late tokens can add."""
+        met = queries.where("not late").join(postings, "tok").select("id1", "id2", (F.col("idf") * F.col("share")).alias("part"))
+        summed = met.groupBy("id1", "id2").agg(F.sum("part").alias("part")).withColumn("kth", F.nth_value("part", k).over(whole))
+        rest = queries.where("late").groupBy("id2").agg(F.sum("bound").alias("rest"))
+        return summed.join(rest, "id2", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+
+    def completed(near: DataFrame, queries: DataFrame) -> DataFrame:
+        """The candidates' scores with the late tokens."""
+        late = near.select("id1", "id2").join(queries.where("late").select("id2", "tok", "idf"), "id2").join(postings, ["tok", "id1"])
+        late = late.select("id1", "id2", (F.col("idf") * F.col("share")).alias("part"))
+        return near.select("id1", "id2", "part").unionByName(late).groupBy("id1", "id2").agg(F.sum("part").alias("part"))
+
+    near = F.coalesce(F.col("part") + F.col("rest") >= F.col("kth") - MARGIN, F.lit(True))
+    first = materialize(candidates(asked).where(near))
+    sure = (F.col("rest") == 0.0) | F.coalesce(F.col("kth") > F.col("rest") + MARGIN, F.lit(False))
+    settled = completed(first.where(sure), asked)
+    # Of the other queries only tokens are late that together stay below the k-th score found so far.
+    known = first.groupBy("id2").agg(F.max(sure).alias("sure"), F.max("kth").alias("kth"))
+    open_ = asked.drop("late").join(known, "id2", "left").where("not coalesce(sure, false)")
+    upto = Window.partitionBy("id2").orderBy("bound", "tok").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    late = F.coalesce(F.sum("bound").over(upto) < F.col("kth") - MARGIN, F.lit(False))
+    again = materialize(open_.select("id2", "tok", "idf", "bound", late.alias("late")))
+    both = settled.unionByName(completed(candidates(again).where(near), again))
+    return top_k(both.select("id1", "id2", F.round("part", 6).alias("score")), k)
