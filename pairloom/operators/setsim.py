@@ -1,8 +1,9 @@
 """Set-similarity joins by prefix, length and positional filters.
 
 Tokens are ordered by rarity. Two sets that are similar enough must share a token within the first
-few of each (how many follows from size and threshold), their sizes must be alike, and the shared
-token must not stand so late that too few can follow. Only pairs that pass are verified.
+few of each (how many follows from size and threshold), their sizes must be alike, the shared token
+must not stand so late that too few can follow, and hashed bitmaps of the two sets must leave room
+for the overlap: a bit that only one has is a token that only one has. Only pairs that pass are verified.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.skew import lookup_skewed
+from pairloom.sources.scratch import materialize
 
 #: Guards bounds on counts against rounding; far below 1 and far above the error of a double.
 EPS = 1e-9
 SIMS = ("jaccard", "cosine")
+#: The bitmap of a set, in words of 64 bits.
+BITMAP = ("b0", "b1", "b2", "b3")
 
 
 def _check(sim: str, threshold: float) -> None:
@@ -50,7 +54,7 @@ def least_overlap(sim: str, threshold: float, n1: Column, n2: Column) -> Column:
 
 
 def rarity_ordered(sets: DataFrame) -> DataFrame:
-    """``sets`` (side, sid, toks) with ``toks`` in order of (records with the token, token), and their number ``n``.
+    """``sets`` (side, sid, toks) with ``toks`` in order of (records with the token, token), their number ``n``, and a bitmap.
 
     The order is the same for both sides. A token in very many sets is looked up without being
     gathered in one task.
@@ -60,14 +64,17 @@ def rarity_ordered(sets: DataFrame) -> DataFrame:
     weighed = counts.crossJoin(F.broadcast(counts.agg(F.sum("df").alias("all"))))
     found = lookup_skewed(rows, weighed, "tok", "df", F.col("all"))
     ordered = F.array_sort(F.collect_list(F.struct("df", "tok")))
-    out = found.groupBy("side", "sid").agg(ordered.alias("o"))
-    return out.select("side", "sid", F.transform("o", lambda x: x["tok"]).alias("toks"), F.size("o").alias("n"))
+    at = F.pmod(F.xxhash64("tok"), F.lit(64 * len(BITMAP)))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    words = [F.bit_or(F.when(F.floor(at / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(b) for i, b in enumerate(BITMAP)]
+    out = found.groupBy("side", "sid").agg(ordered.alias("o"), *words)
+    return out.select("side", "sid", F.transform("o", lambda x: x["tok"]).alias("toks"), F.size("o").alias("n"), *BITMAP)
 
 
 def _postings(ordered: DataFrame, sim: str, threshold: float) -> DataFrame:
     ratio = least_ratio(sim, threshold)
     length = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * ratio - EPS).cast("int") + 1)
-    out = ordered.select("sid", "n", F.posexplode(F.slice("toks", 1, length)).alias("pos", "tok"))
+    out = ordered.select("sid", "n", *BITMAP, F.posexplode(F.slice("toks", 1, length)).alias("pos", "tok"))
     if ratio >= 1.0:
         return out.withColumn("band", F.col("n"))
     # Similar sets lie in the same or in neighbouring bands of sizes.
@@ -78,14 +85,16 @@ def candidates(left: DataFrame, right: DataFrame | None, sim: str, threshold: fl
     """(s1, s2) of rarity-ordered sets that pass all filters; within ``left`` (s1 < s2) if ``right`` is None."""
     near, far = _postings(left, sim, threshold), _postings(left if right is None else right, sim, threshold)
     steps = [0] if least_ratio(sim, threshold) >= 1.0 else [-1, 0] if right is None else [-1, 0, 1]
-    x = near.select(F.col("sid").alias("s1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), "tok", "band")
+    x = near.select(F.col("sid").alias("s1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), "tok", "band", *[F.col(b).alias(f"x{b}") for b in BITMAP])
     y = far.select(
         F.col("sid").alias("s2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("tok").alias("tok2"),
-        F.explode(F.array(*[F.col("band") + s for s in steps])).alias("band2"),
+        F.explode(F.array(*[F.col("band") + s for s in steps])).alias("band2"), *[F.col(b).alias(f"y{b}") for b in BITMAP],
     )
     follow = F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
     ratio = least_ratio(sim, threshold)
     alike = (F.least("n1", "n2") >= F.greatest("n1", "n2") * ratio - EPS) & (follow >= least_overlap(sim, threshold, F.col("n1"), F.col("n2")))
+    own = lambda a, b: sum((F.bit_count(F.col(f"{a}{w}").bitwiseAND(F.bitwise_not(f"{b}{w}"))) for w in BITMAP), F.lit(0))
+    alike &= F.least(F.col("n1") - own("x", "y"), F.col("n2") - own("y", "x")) >= least_overlap(sim, threshold, F.col("n1"), F.col("n2"))
     if right is None:  # each pair once, from the side of the larger set
         alike &= (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("s1") < F.col("s2")))
     met = x.join(y, (x["tok"] == y["tok2"]) & (x["band"] == y["band2"]) & alike)
@@ -108,10 +117,10 @@ def similarity_join(left: DataFrame, right: DataFrame, sim: str, threshold: floa
     """(s1, s2, score): pairs of ``left`` and ``right`` (sid, toks) with a similarity of ``threshold`` or more.
 
     ``toks`` are arrays without repeats; null and empty ones match nothing. ``strict`` asks for more
-    than ``threshold``.
+    than ``threshold``. The ordered sets are written once when this is called; they are read for either side and again to verify.
     """
     _check(sim, threshold)
     held = lambda df, side: df.where(F.size("toks") > 0).select(F.lit(side).alias("side"), "sid", "toks")
-    ordered = rarity_ordered(held(left, 1).unionByName(held(right, 2)))
+    ordered = materialize(rarity_ordered(held(left, 1).unionByName(held(right, 2))))
     one, two = ordered.where("side = 1"), ordered.where("side = 2")
     return verified(candidates(one, two, sim, threshold), one, two, sim, threshold, strict)
