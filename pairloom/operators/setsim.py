@@ -53,8 +53,9 @@ def least_overlap(sim: str, threshold: float, n1: Column, n2: Column) -> Column:
     return F.ceil(F.sqrt((n1 * n2).cast("double")) * threshold - EPS)
 
 
-def rarity_ordered(sets: DataFrame) -> DataFrame:
-    """``sets`` (side, sid, toks) with ``toks`` in order of (records with the token, token), their number ``n``, and a bitmap.
+def rarity_ordered(sets: DataFrame, bitmap: bool = True) -> DataFrame:
+    """``sets`` (side, sid, toks) with ``toks`` in order of (records with the token, token), their number ``n``, and, if asked, a
+    bitmap. The bitmap pays where sets are large and many candidates fail, as with q-grams.
 
     The order is the same for both sides. A token in very many sets is looked up without being
     gathered in one task.
@@ -66,35 +67,45 @@ def rarity_ordered(sets: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("df", "tok")))
     at = F.pmod(F.xxhash64("tok"), F.lit(64 * len(BITMAP)))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
-    words = [F.bit_or(F.when(F.floor(at / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(b) for i, b in enumerate(BITMAP)]
+    words = [F.bit_or(F.when(F.floor(at / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(b) for i, b in enumerate(BITMAP if bitmap else ())]
     out = found.groupBy("side", "sid").agg(ordered.alias("o"), *words)
-    return out.select("side", "sid", F.transform("o", lambda x: x["tok"]).alias("toks"), F.size("o").alias("n"), *BITMAP)
+    return out.select("side", "sid", F.transform("o", lambda x: x["tok"]).alias("toks"), F.size("o").alias("n"), *BITMAP[: len(words)])
+
+
+def _bitmap(ordered: DataFrame) -> list[str]:
+    return [b for b in BITMAP if b in ordered.columns]
 
 
 def _postings(ordered: DataFrame, sim: str, threshold: float) -> DataFrame:
     ratio = least_ratio(sim, threshold)
     length = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * ratio - EPS).cast("int") + 1)
-    out = ordered.select("sid", "n", *BITMAP, F.posexplode(F.slice("toks", 1, length)).alias("pos", "tok"))
+    out = ordered.select("sid", "n", *_bitmap(ordered), F.posexplode(F.slice("toks", 1, length)).alias("pos", "tok"))
     if ratio >= 1.0:
         return out.withColumn("band", F.col("n"))
     # Similar sets lie in the same or in neighbouring bands of sizes.
     return out.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log((1.0 + 1e-6) / ratio)).cast("int"))
 
 
+def _room(sim: str, threshold: float) -> Column:
+    """Whether the bitmaps x… and y… of a pair leave room for the overlap it needs."""
+    own = lambda a, b: sum((F.bit_count(F.col(f"{a}{w}").bitwiseAND(F.bitwise_not(f"{b}{w}"))) for w in BITMAP), F.lit(0))
+    return F.least(F.col("n1") - own("x", "y"), F.col("n2") - own("y", "x")) >= least_overlap(sim, threshold, F.col("n1"), F.col("n2"))
+
+
 def candidates(left: DataFrame, right: DataFrame | None, sim: str, threshold: float) -> DataFrame:
     """(s1, s2) of rarity-ordered sets that pass all filters; within ``left`` (s1 < s2) if ``right`` is None."""
     near, far = _postings(left, sim, threshold), _postings(left if right is None else right, sim, threshold)
     steps = [0] if least_ratio(sim, threshold) >= 1.0 else [-1, 0] if right is None else [-1, 0, 1]
-    x = near.select(F.col("sid").alias("s1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), "tok", "band", *[F.col(b).alias(f"x{b}") for b in BITMAP])
+    x = near.select(F.col("sid").alias("s1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), "tok", "band", *[F.col(b).alias(f"x{b}") for b in _bitmap(near)])
     y = far.select(
         F.col("sid").alias("s2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("tok").alias("tok2"),
-        F.explode(F.array(*[F.col("band") + s for s in steps])).alias("band2"), *[F.col(b).alias(f"y{b}") for b in BITMAP],
+        F.explode(F.array(*[F.col("band") + s for s in steps])).alias("band2"), *[F.col(b).alias(f"y{b}") for b in _bitmap(far)],
     )
     follow = F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
     ratio = least_ratio(sim, threshold)
     alike = (F.least("n1", "n2") >= F.greatest("n1", "n2") * ratio - EPS) & (follow >= least_overlap(sim, threshold, F.col("n1"), F.col("n2")))
-    own = lambda a, b: sum((F.bit_count(F.col(f"{a}{w}").bitwiseAND(F.bitwise_not(f"{b}{w}"))) for w in BITMAP), F.lit(0))
-    alike &= F.least(F.col("n1") - own("x", "y"), F.col("n2") - own("y", "x")) >= least_overlap(sim, threshold, F.col("n1"), F.col("n2"))
+    if _bitmap(near) and _bitmap(far):
+        alike &= _room(sim, threshold)
     if right is None:  # each pair once, from the side of the larger set
         alike &= (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("s1") < F.col("s2")))
     met = x.join(y, (x["tok"] == y["tok2"]) & (x["band"] == y["band2"]) & alike)

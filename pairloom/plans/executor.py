@@ -1,4 +1,4 @@
-"""Lowering of a program to one lazy DataFrame of pairs.
+"""Lowering of a program to one DataFrame of pairs. All of it is lazy but for the tables that similarity and BM25 joins read several times.
 
 Producers give candidate pairs, each tagged with the producers it came from. The features that the
 remaining predicates need are joined on once, rules are evaluated in three-valued logic reduced to
