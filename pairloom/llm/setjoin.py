@@ -26,13 +26,13 @@ class SimilarSets:
 
 
 def _classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sid, toks) of the distinct sets, and (side, key, sid). A set is known by two independent 64-bit hashes."""
+    """(side, sid, toks) of the distinct sets, side 3 if on both, and (side, key, sid). A set is known by two independent 64-bit hashes."""
     hashed = records.select("side", "key", "toks", F.xxhash64("toks").alias("h1"), F.xxhash64(F.lit(1), "toks").alias("h2"))
     hashed = materialize(hashed)
-    sets = hashed.groupBy("h1", "h2").agg(F.first("toks").alias("toks"))
+    sets = hashed.groupBy("h1", "h2").agg(F.first("toks").alias("toks"), F.bit_or("side").alias("side"))
     sets = materialize(sets.withColumn("sid", F.monotonically_increasing_id()))
     members = hashed.select("side", "key", "h1", "h2").distinct().join(sets.select("h1", "h2", "sid"), ["h1", "h2"])
-    return sets.select("sid", "toks"), materialize(members.select("side", "key", "sid"))
+    return sets.select("side", "sid", "toks"), materialize(members.select("side", "key", "sid"))
 
 
 def similar_sets(left: DataFrame, right: DataFrame | None, key: str, values: str, threshold: float) -> SimilarSets:
@@ -51,14 +51,12 @@ def similar_sets(left: DataFrame, right: DataFrame | None, key: str, values: str
 
     records = read(left, 1) if right is None else read(left, 1).unionByName(read(right, 2))
     sets, members = _classes(records)
-    ordered = materialize(setsim.rarity_ordered(sets.select(F.lit(0).alias("side"), "sid", "toks")))
+    ordered = materialize(setsim.rarity_ordered(sets, bitmap=False))
     if right is None:
         one = two = ordered
         pairs = setsim.candidates(ordered, None, "jaccard", threshold)
     else:  # a class with members on both sides is on both
-        sides = members.groupBy("sid").agg(F.max(F.col("side") == 1).alias("in1"), F.max(F.col("side") == 2).alias("in2"))
-        placed = materialize(ordered.join(sides, "sid"))
-        one, two = placed.where("in1"), placed.where("in2")
+        one, two = ordered.where(F.col("side") != 2), ordered.where(F.col("side") != 1)
         pairs = setsim.candidates(one, two, "jaccard", threshold).where("s1 <> s2")
         pairs = pairs.select(F.least("s1", "s2").alias("s1"), F.greatest("s1", "s2").alias("s2")).distinct()
     links = setsim.verified(pairs, ordered, ordered, "jaccard", threshold)
@@ -105,4 +103,5 @@ def name_words(authors, names: DataFrame):
     if not rows:
         return words
     short = F.create_map(*[F.lit(x) for r in rows for x in (r["name"], r["short"])])
-    return F.transform(words, lambda w: F.coalesce(short[w], w))
+    # The set of names is looked up by hash, the map by reading through it: most words are in neither.
+    return F.transform(words, lambda w: F.when(w.isin([r["name"] for r in rows]), F.coalesce(short[w], w)).otherwise(w))
