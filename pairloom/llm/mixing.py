@@ -31,14 +31,18 @@ def source_name(column: Column) -> Column:
 
 @dataclass(frozen=True)
 class Classifier:
-    """Multinomial naive Bayes on tokens: log probabilities by token and source, of sources, and the sharpness of posteriors."""
+    """Multinomial naive Bayes on tokens: log probabilities by token and source, of sources, and the sharpness of posteriors.
+
+    A text's tokens weigh as ``sharpness`` * their number ** (1 - ``damping``) independent ones: tokens of a text depend on each other.
+    """
 
     tokens: np.ndarray
     prior: np.ndarray
     sharpness: float
+    damping: float = 0.0
 
     def posterior(self, ids: np.ndarray) -> np.ndarray:
-        score = self.prior + self.sharpness * self.tokens[ids].sum(0) if len(ids) else self.prior.copy()
+        score = self.prior + self.sharpness * len(ids) ** -self.damping * self.tokens[ids].sum(0) if len(ids) else self.prior.copy()
         score = np.exp(score - score.max())
         return score / score.sum()
 
@@ -53,8 +57,12 @@ def _tokens_of(vocabulary: str):
     return run
 
 
+#: Sharpness and damping that are tried: none, and a few tokens' to all tokens' worth at full length, by the root of it, and at any length.
+TRIED = ((0.0, 0.0), *((2.0**-k, 0.0) for k in range(16)), *((2.0**k, 0.5) for k in range(-8, 4)), *((2.0 ** (k / 2), 1.0) for k in range(-6, 17)))
+
+
 def train(labels: np.ndarray, texts: list[np.ndarray], sources: int, size: int) -> Classifier:
-    """Fit on two thirds of the texts; the sharpness is the one with the least log loss on the others. A source without texts gets no mass."""
+    """Fit on two thirds of the texts; sharpness and damping are those with the least log loss on the others. A source without texts gets no mass."""
     held = np.bincount(labels, minlength=sources).astype(float)
     with np.errstate(divide="ignore"):
         prior = np.log(held / held.sum()) if held.sum() else np.full(sources, -math.log(max(sources, 1)))
@@ -68,14 +76,14 @@ def train(labels: np.ndarray, texts: list[np.ndarray], sources: int, size: int)
     tokens = fit(order[order % 3 > 0])
     tests = order[order % 3 == 0]
     sums = np.array([tokens[texts[i]].sum(0) for i in tests]).reshape(-1, sources)
+    lengths = np.array([max(len(texts[i]), 1) for i in tests], float)[:, None]
 
-    def loss(sharpness):
-        score = prior + sharpness * sums
+    def loss(tried):
+        score = prior + tried[0] * lengths ** -tried[1] * sums
         top = score.max(1, keepdims=True)
         return float((np.log(np.exp(score - top).sum(1)) + top[:, 0] - score[np.arange(len(tests)), labels[tests]]).mean()) if len(tests) else 0.0
 
-    sharpness = min((0.0, *(2.0**-k for k in range(12))), key=loss)
-    return Classifier(fit(order), prior, sharpness)
+    return Classifier(fit(order), prior, *min(TRIED, key=loss))
 
 
 def fit_classifier(documents: DataFrame, sources: list[str], text: str, label: str, sample: int = 3000, vocabulary: str = VOCABULARY) -> Classifier:

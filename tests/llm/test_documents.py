@@ -131,6 +131,17 @@ def test_classifier_held_out():
     assert model.posterior(texts[0])[2] == 0.0 and model.posterior(np.zeros(0, np.int64)).sum() == pytest.approx(1.0)
 
 
+def test_classifier_of_long_texts_beats_the_prior():
+    # The tokens of a text say one thing only, its language, which tells a little of its source.
+    r = np.random.default_rng(5)
+    labels = r.integers(0, 2, 900)
+    texts = [(r.integers(0, 50, 20_000) + 50 * (r.random() < (0.15, 0.45)[y])).astype(np.int32) for y in labels]
+    model = mixing.train(labels[:600], texts[:600], 2, 100)
+    loss = lambda p: -np.mean([np.log(p(t)[y]) for t, y in zip(texts[600:], labels[600:], strict=True)])
+    assert loss(model.posterior) < loss(lambda t: np.exp(model.prior)) - 0.03
+    assert model.posterior(texts[0] % 50)[0] > 0.55 and model.posterior(texts[0] % 50 + 50)[0] < 0.35
+
+
 def test_lines_match_plain_python():
     known = lines.Words.of(["the", "für", "à"])
     texts = ["The ship, für 12  x\n\n  - a | b\nÀ la\tthe THE.", "", "\n \n", "one\r\ntwo", "ñ" * 9, "end\n"]
