@@ -61,9 +61,12 @@ def _tokens_of(vocabulary: str):
 TRIED = ((0.0, 0.0), *((2.0**-k, 0.0) for k in range(16)), *((2.0**k, 0.5) for k in range(-8, 4)), *((2.0 ** (k / 2), 1.0) for k in range(-6, 17)))
 
 
-def train(labels: np.ndarray, texts: list[np.ndarray], sources: int, size: int) -> Classifier:
-    """Fit on two thirds of the texts; sharpness and damping are those with the least log loss on the others. A source without texts gets no mass."""
-    held = np.bincount(labels, minlength=sources).astype(float)
+def train(labels: np.ndarray, texts: list[np.ndarray], sources: int, size: int, held: np.ndarray | None = None) -> Classifier:
+    """Fit on two thirds of the texts; sharpness and damping are those with the least log loss on the others. A source without texts gets no mass.
+
+    ``held`` has the number of texts of each source in all, if these are a sample. Copies of a text are on one side of the split.
+    """
+    held = np.bincount(labels, minlength=sources).astype(float) if held is None else held
     with np.errstate(divide="ignore"):
         prior = np.log(held / held.sum()) if held.sum() else np.full(sources, -math.log(max(sources, 1)))
 
@@ -73,8 +76,10 @@ def train(labels: np.ndarray, texts: list[np.ndarray], sources: int, size: int)
         return np.log(counts / counts.sum(0)).astype(np.float32)
 
     order = np.arange(len(texts))
-    tokens = fit(order[order % 3 > 0])
-    tests = order[order % 3 == 0]
+    seen: dict[bytes, int] = {}
+    part = np.array([seen.setdefault(t.tobytes(), len(seen)) % 3 for t in texts], np.int64)
+    tokens = fit(order[part > 0])
+    tests = order[part == 0]
     sums = np.array([tokens[texts[i]].sum(0) for i in tests]).reshape(-1, sources)
     lengths = np.array([max(len(texts[i]), 1) for i in tests], float)[:, None]
 
@@ -86,17 +91,23 @@ def train(labels: np.ndarray, texts: list[np.ndarray], sources: int, size: int)
     return Classifier(fit(order), prior, *min(TRIED, key=loss))
 
 
-def fit_classifier(documents: DataFrame, sources: list[str], text: str, label: str, sample: int = 3000, vocabulary: str = VOCABULARY) -> Classifier:
-    """Train on about ``sample`` labelled documents, chosen by the hash of their text. ``label`` is a column of source names."""
+def fit_classifier(documents: DataFrame, sources: list[str], doc_id: str, text: str, label: str, sample: int = 3000, vocabulary: str = VOCABULARY) -> Classifier:
+    """Train on about ``sample`` labelled documents, chosen by the hash of their id and text. ``label`` is a column of source names.
+
+    The prior of the sources is counted over all labelled documents.
+    """
     number = F.array_position(F.array(*[F.lit(s) for s in sources]), F.col(label)) - 1
-    held = documents.select(number.cast("int").alias("label"), F.col(text).alias("text")).where("label >= 0 and text is not null")
-    total = documents.where(F.col(label).isNotNull()).count()
-    if total > sample:  # the limit holds the bound where many rows have the same text
-        held = held.where(F.pmod(F.xxhash64("text"), F.lit(2**62)) < int(2**62 * sample / total)).limit(2 * sample)
-    rows = held.mapInArrow(_tokens_of(vocabulary), "label int, tokens binary").collect()
+    held = documents.select(number.cast("int").alias("label"), F.col(doc_id).alias("id"), F.col(text).alias("text")).where("label >= 0 and text is not null")
+    counts = np.zeros(len(sources))
+    for r in held.groupBy("label").count().collect():
+        counts[r["label"]] = r["count"]
+    total = counts.sum()
+    if total > sample:  # the limit holds the bound where many rows have the same id and text
+        held = held.where(F.pmod(F.xxhash64("id", "text"), F.lit(2**62)) < int(2**62 * sample / total)).limit(2 * sample)
+    rows = held.select("label", "text").mapInArrow(_tokens_of(vocabulary), "label int, tokens binary").collect()
     rows.sort(key=lambda r: (r["tokens"], r["label"]))
     rows = [rows[i] for i in np.random.default_rng(0).permutation(len(rows))]
-    return train(np.array([r["label"] for r in rows], np.int64), [np.frombuffer(r["tokens"], np.int32) for r in rows], len(sources), encoder(vocabulary).n_vocab)
+    return train(np.array([r["label"] for r in rows], np.int64), [np.frombuffer(r["tokens"], np.int32) for r in rows], len(sources), encoder(vocabulary).n_vocab, counts)
 
 
 def _measured(model: Classifier, vocabulary: str):
@@ -191,7 +202,7 @@ def mix(documents: DataFrame, doc_id: str, text: str, source: str, targets: Data
     names = [r["source"] for r in rows]
     shares, caps = np.array([r["target_share"] or 0.0 for r in rows]), np.array([float(r["max_repeats"] or 0) for r in rows])
     held = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), source_name(F.col(f"`{source}`")).alias("name"))
-    model = fit_classifier(held, names, "text", "name", sample, vocabulary)
+    model = fit_classifier(held, names, "id", "text", "name", sample, vocabulary)
     number = (F.array_position(F.array(*[F.lit(s) for s in names]), F.col("name")) - 1).cast("int")
     label = F.when(F.col("name").isNotNull(), number)
     measured = held.select("id", "text", label.alias("label")).where("label is null or label >= 0")

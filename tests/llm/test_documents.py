@@ -142,6 +142,21 @@ def test_classifier_of_long_texts_beats_the_prior():
     assert model.posterior(texts[0] % 50)[0] > 0.55 and model.posterior(texts[0] % 50 + 50)[0] < 0.35
 
 
+def test_prior_counts_all_labelled_documents(spark, monkeypatch):
+    # A third of the documents are copies of one text: some of them are in the sample, the prior counts them all.
+    seen = []
+    monkeypatch.setattr(mixing, "train", lambda labels, texts, *rest, of=mixing.train: seen.append(texts) or of(labels, texts, *rest))
+    docs = [(i, "one copied text", "north") for i in range(600)] + [(600 + i, f"text {i} of a town", ("south", "west")[i % 2]) for i in range(1000)]
+    docs += [(5000 + i, f"other {i}", "elsewhere") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    for sources in (["north", "south", "west"], ["west", "none", "north"]):
+        model = mixing.fit_classifier(df, sources, doc_id="doc_id", text="text", label="source", sample=160)
+        counts = np.array([{"north": 600, "none": 0}.get(s, 500) for s in sources], float)
+        assert np.exp(model.prior) == pytest.approx(counts / counts.sum())
+        copies = sum(np.array_equal(t, tokens.token_ids("one copied text")) for t in seen[-1])
+        assert 0.2 * len(seen[-1]) < copies < 0.8 * len(seen[-1]) <= 0.8 * 320
+
+
 def test_lines_match_plain_python():
     known = lines.Words.of(["the", "für", "à"])
     texts = ["The ship, für 12  x\n\n  - a | b\nÀ la\tthe THE.", "", "\n \n", "one\r\ntwo", "ñ" * 9, "end\n"]
