@@ -183,23 +183,25 @@ def _near_numbers() -> Column:
 def close_pairs(records: DataFrame, f: TextField, heavy: int = 4096) -> DataFrame:
     """(s1, s2) of records of the two sides whose vectors agree in a chunk and have the field's least similarity.
 
-    ``records`` is (side, sid, number, vectors). All pairs that differ in at most ``chunks - 2`` bits are
-    found, and most that differ in some more: at least two chunks of such a pair agree, so where a
-    chunk's value makes more than ``heavy`` pairs, its records need to agree in one more chunk. That
-    parts every large bucket but one of vectors alike everywhere.
+    ``records`` is (side, sid, number, vectors). All pairs that agree in a chunk are compared, so all that
+    differ in at most ``chunks - 1`` bits are found. A chunk's value that makes more than ``heavy`` pairs is
+    compared in blocks of about that many: each side is cut into parts, and each part of one meets each of the other.
     """
     vector = f.columns()
     held = records.where(ones([F.col(c) for c in vector]) >= LEAST_BITS)
     near = _near_numbers() if f.near_number else F.array(F.lit("all"))
     at = F.array(*[F.struct(F.lit(i).alias("i"), _chunk(f, i).alias("v")) for i in range(f.chunks)])
     keyed = held.select("side", "sid", *vector, F.explode(near).alias("near"), at.alias("at")).select("*", F.explode("at").alias("c"))
-    keyed = keyed.select("side", "sid", *vector, "at", F.col("c.i").alias("i"), F.xxhash64("c.i", "c.v", "near").alias("key"))
+    keyed = keyed.select("side", "sid", *vector, F.xxhash64("c.i", "c.v", "near").alias("key"))
     counts = keyed.groupBy("key").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2"))
-    crowded = counts.where(F.col("n1") * F.col("n2") > heavy).select("key", F.lit(True).alias("crowded"))
+    width = max(1.0, heavy**0.5)
+    crowded = counts.where(F.col("n1") * F.col("n2") > heavy).select("key", *[F.ceil(F.col(n) / width).cast("int").alias(p) for n, p in (("n1", "p1"), ("n2", "p2"))])
     marked = keyed.join(materialize(crowded), "key", "left")
-    others = F.filter("at", lambda c: c["i"] != F.col("i"))
-    finer = F.transform(others, lambda c: F.xxhash64("key", c["i"], c["v"]))
-    keys = F.when(F.col("crowded"), finer).otherwise(F.array("key"))
+    left = F.col("side") == 1
+    mine = F.pmod(F.xxhash64("sid", "key"), F.when(left, F.col("p1")).otherwise(F.col("p2"))).cast("int")
+    block = lambda other: F.xxhash64("key", F.when(left, mine).otherwise(other), F.when(left, other).otherwise(mine))
+    blocks = F.transform(F.sequence(F.lit(0), F.when(left, F.col("p2")).otherwise(F.col("p1")) - 1), block)
+    keys = F.when(F.col("p1").isNotNull(), blocks).otherwise(F.array("key"))
     placed = marked.select("side", "sid", *vector, F.explode(keys).alias("key"))
     one = placed.where("side = 1").select("key", F.col("sid").alias("s1"), *[F.col(c).alias(f"l_{c}") for c in vector])
     two = placed.where("side = 2").select("key", F.col("sid").alias("s2"), *[F.col(c).alias(f"r_{c}") for c in vector])

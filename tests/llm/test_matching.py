@@ -43,6 +43,19 @@ def test_close_pairs_are_exact_within_the_radius(spark, heavy):
     assert near and near <= got
 
 
+@pytest.mark.parametrize("heavy", [0, 50, 100_000])
+def test_crowded_buckets_lose_no_pair(spark, heavy):
+    # All agree in the first chunk and hardly any pair in another one.
+    r, f = random.Random(9), M.TextField("v", "v", "v", 128, dice=0.4)
+    values = [0b1011011 | sum(1 << i for i in r.sample(range(32, 128), 6)) for _ in range(150)]
+    data = [(1 + i % 2, i, 2000, *(int(x) for x in np.frombuffer(v.to_bytes(16, "little"), np.int64))) for i, v in enumerate(values)]
+    df = spark.createDataFrame(data, "side int, sid long, number int, v_0 long, v_1 long").repartition(3)
+    got = [(x["s1"], x["s2"]) for x in M.close_pairs(df, f, heavy).collect()]
+    alike = lambda a, b: 2 * (a & b).bit_count() >= 0.4 * (a.bit_count() + b.bit_count())
+    want = {(i, k) for i in range(0, 150, 2) for k in range(1, 150, 2) if alike(values[i], values[k])}
+    assert len(want) > 4000 and set(got) == want
+
+
 def test_dice_and_nulls(spark):
     f = M.TextField("v", "v", "v", 64)
     df = spark.createDataFrame([(0b1111, 0b0111), (0, 1), (-1, -1)], "l_v_0 long, r_v_0 long")
