@@ -218,7 +218,8 @@ def _pair_counts(known: L.Words):
         for batch in batches:
             for _, _, data, offsets in _slices(batch.column("text")):
                 counts += np.bincount(L.measure(data, offsets, known).pairs, minlength=n * n)
-        yield pa.record_batch([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
+        at = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(at), pa.array(counts[at])], names=["pair", "n"])
 
     return run
 
@@ -239,16 +240,18 @@ def _line_codes(known: L.Words, fluency: np.ndarray):
 def fit(documents: DataFrame, doc_id: str, text: str, words: list[str], sample: int = 3000) -> LineModel:
     """Train the model on about ``sample`` documents, chosen by the hash of their id.
 
-    The bound ``sample`` is all that training depends on; measuring covers every document.
+    Viterbi training depends on the bound ``sample``; pairs of words are counted, and lines measured, in every document.
     """
     known = L.Words.of(words)
     total = documents.count()
     held = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    n = len(known) + 1
+    pairs = held.select("text").mapInArrow(_pair_counts(known), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    counts = np.full(n * n, 0.1)
+    counts[np.array([r["pair"] for r in pairs], np.int64)] += [r["n"] for r in pairs]
+    counts = counts.reshape(n, n)
     if total > sample:  # the limit holds the bound where many rows have the same id
         held = held.where(F.pmod(F.xxhash64("id"), F.lit(2**62)) < int(2**62 * sample / total)).limit(2 * sample)
-    n = len(known) + 1
-    parts = held.select("text").mapInArrow(_pair_counts(known), "counts binary").collect()
-    counts = sum((np.frombuffer(r["counts"], np.int64) for r in parts), np.zeros(n * n, np.int64)).reshape(n, n) + 0.1
     fluency = np.log(counts / counts.sum(1, keepdims=True)).ravel()
     rows = sorted(held.mapInArrow(_line_codes(known, fluency), "id long, codes binary").collect(), key=lambda r: (r["id"] is None, r["id"] or 0, r["codes"]))
     codes = [np.frombuffer(r["codes"], np.uint8).reshape(-1, len(L.FEATURES)) for r in rows]

@@ -216,6 +216,13 @@ def test_text_statistics_tell_prose_from_the_rest(spark):
     assert all(abs(sum(x[f"{k}_share"] for k in quality.KINDS) - (x["n_chars"] > 0)) < 1e-9 for x in got.values())
 
 
+def test_word_pairs_are_counted_in_all_documents(spark):
+    docs = spark.createDataFrame([(i, "the cat of the house") for i in range(300)] + [(300, "det hus")], "doc_id long, text string").repartition(3)
+    words = ["the", "of", "det"]
+    whole, sampled = quality.fit(docs, "doc_id", "text", words), quality.fit(docs, "doc_id", "text", words, sample=20)
+    assert np.allclose(whole.fluency, sampled.fluency)
+
+
 def test_text_statistics_of_nothing(spark):
     words = spark.createDataFrame([("the",)], "word string")
     assert quality.text_statistics(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", words).count() == 0
