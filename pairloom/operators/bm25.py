@@ -1,20 +1,28 @@
 """BM25 top-k join.
 
-A token that stands in very many records adds little to a score, yet most of the work. The records
-that share a rarer token with the query are scored by the rarer tokens first. The k-th best of these
-scores is a lower bound of what the k best reach; if the frequent tokens together cannot reach it,
-no record outside the candidates can be among the k best, and the frequent tokens are looked up for
-the remaining candidates only. For other queries as many of the most frequent tokens are looked up
-last as together stay below that bound, which is exact again.
+The index keeps postings as lists per token and block of index records. A token that stands in very
+many records adds little to a score, yet most of the work: each query's records are scored by its
+rarer tokens first, list by list over whole arrays. The k-th best of these scores is a lower bound
+of what the k best reach; if the frequent tokens together cannot reach it, no other record can be
+among the k best, and the frequent tokens are looked up for what is left only. For other queries as
+many of the most frequent tokens are looked up last as together stay below that bound, which is
+exact again.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.tokenizers import Tokenizer
-from pairloom.operators.topk import top_k
+from pairloom.operators.topk import check_k, top_k
 from pairloom.sources.scratch import materialize
 
 K1, B = 1.2, 0.75
@@ -22,15 +30,25 @@ K1, B = 1.2, 0.75
 FREQUENT = 0.05
 #: Scores are compared after rounding to six places; bounds keep a distance above that.
 MARGIN = 1e-5
+#: Index records in a block. A list of postings has at most so many entries.
+BLOCK_DOCS = 65_536
+#: Queries with a token that are joined with its postings in one task; more are parted.
+SALT_QUERIES = 20_000
+#: Postings that are scored at once.
+SLICE = 2_000_000
 
 
-def bm25_top_k(index: DataFrame, search: DataFrame, index_col: str, search_col: str, tokenizer: Tokenizer, k: int) -> DataFrame:
-    """(id1, id2, score, rank): for each search record (id, text) the ``k`` best index records that share a token.
+@dataclass(frozen=True)
+class BM25Index:
+    """``postings`` (tok, id1, share), ``lists`` (tok, block, ids, shares) and ``weights`` (tok, df, idf, bound, late); all are written once."""
 
-    Statistics are global over the index records with a text. Each distinct query token counts once.
-    Scores are rounded to six places before ranking; equal ones go to the smaller id1. The result is
-    exact. Token statistics and first candidates are computed when this is called.
-    """
+    postings: DataFrame
+    lists: DataFrame
+    weights: DataFrame
+
+
+def bm25_index(index: DataFrame, index_col: str, tokenizer: Tokenizer, block_docs: int = BLOCK_DOCS) -> BM25Index:
+    """Index the records (id, text). Statistics are global over those with a text."""
     docs = index.select(F.col("id").alias("id1"), tokenizer.tokens(F.col(index_col)).alias("toks")).where("toks is not null")
     docs = docs.withColumn("dl", F.size("toks"))
     stats = docs.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
@@ -39,34 +57,124 @@ def bm25_top_k(index: DataFrame, search: DataFrame, index_col: str, search_col:
     postings = materialize(counted.crossJoin(F.broadcast(stats)).select("tok", "id1", share.alias("share")))
     found = postings.groupBy("tok").agg(F.count("*").alias("df"), F.max("share").alias("most")).crossJoin(F.broadcast(stats))
     idf = F.log(1.0 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = found.select("tok", idf.alias("idf"), (idf * F.col("most")).alias("bound"), (F.col("df") > F.col("docs") * FREQUENT).alias("late"))
-    asked = search.select(F.col("id").alias("id2"), F.explode(tokenizer.token_set(F.col(search_col))).alias("tok"))
-    asked = materialize(asked.join(weights, "tok"))
+    late = F.col("df") > F.col("docs") * FREQUENT
+    weights = materialize(found.select("tok", "df", idf.alias("idf"), (idf * F.col("most")).alias("bound"), late.alias("late")))
+    blocks = max(1, math.ceil(index.count() / block_docs))
+    block = F.pmod(F.xxhash64("id1"), F.lit(blocks)).cast("int").alias("block")
+    entry = F.array_sort(F.collect_list(F.struct("id1", "share")))
+    lists = postings.groupBy("tok", block).agg(entry.alias("e")).select("tok", "block", F.col("e.id1").alias("ids"), F.col("e.share").alias("shares"))
+    return BM25Index(postings, materialize(lists), weights)
+
+
+def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of the lists of a column, and their elements."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy()
+
+
+def _scored(held: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
+    """Sums of the postings of whole (query, block) groups; of each group what may be among the k best."""
+    rows = pa.Table.from_batches(held)
+    id2, block = rows["id2"].to_numpy(), rows["block"].to_numpy()
+    fresh = np.ones(len(id2), bool)
+    fresh[1:] = (id2[1:] != id2[:-1]) | (block[1:] != block[:-1])
+    group = np.cumsum(fresh) - 1
+    length, ids = _flat(rows["ids"])
+    _, shares = _flat(rows["shares"])
+    part = shares * np.repeat(rows["idf"].to_numpy(), length)
+    at = np.repeat(group, length)
+    # A group's lists are ascending each; a stable sort by id merges them.
+    order = np.argsort(ids, kind="stable")
+    order = order[np.argsort(at[order], kind="stable")]
+    at, ids, part = at[order], ids[order], part[order]
+    first = np.ones(len(ids), bool)
+    first[1:] = (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])
+    begin = np.flatnonzero(first)
+    total = np.add.reduceat(part, begin) if len(begin) else part
+    at, ids = at[begin], ids[begin]
+    rank = np.lexsort((-total, at))
+    start = np.searchsorted(at[rank], np.arange(group[-1] + 1))
+    size = np.diff(np.append(start, len(at)))
+    kth = np.full(len(size), -np.inf)
+    enough = size >= k
+    kth[enough] = total[rank[start[enough] + k - 1]]
+    rest = rows["rest"].to_numpy()[fresh]
+    keep = total + rest[at] >= kth[at] - MARGIN
+    at, ids, total = at[keep], ids[keep], total[keep]
+    return pa.record_batch([pa.array(id2[fresh][at]), pa.array(ids), pa.array(total), pa.array(rest[at])], names=["id2", "id1", "part", "rest"])
 
-    whole = Window.partitionBy("id2").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def _score_groups(k: int):
+    """Rows (id2, block, idf, rest, ids, shares) come group by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        postings = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            postings += int(pc.sum(pc.list_value_length(batch.column("ids"))).as_py() or 0)
+            if postings < SLICE:
+                continue
+            # The last group may go on: it waits for the next batch.
+            rows = pa.Table.from_batches(held).combine_chunks()
+            id2, block = rows["id2"].to_numpy(), rows["block"].to_numpy()
+            last = int(np.flatnonzero((id2 != id2[-1]) | (block != block[-1])).max(initial=-1)) + 1
+            if last:
+                yield _scored(rows.slice(0, last).to_batches(), k)
+            held = rows.slice(last).to_batches()
+            postings = int(pc.sum(pc.list_value_length(rows["ids"].slice(last))).as_py() or 0)
+        if held:
+            yield _scored(held, k)
+
+    return run
+
+
+def bm25_top_k(index: DataFrame | BM25Index, search: DataFrame, index_col: str, search_col: str, tokenizer: Tokenizer, k: int, salt_queries: int = SALT_QUERIES) -> DataFrame:
+    """(id1, id2, score, rank): for each search record (id, text) the ``k`` best index records that share a token.
+
+    Statistics are global over the index records with a text. Each distinct query token counts once.
+    Scores are rounded to six places before ranking; equal ones go to the smaller id1. The result is
+    exact. The index and first candidates are computed when this is called.
+    """
+    check_k(k)
+    known = index if isinstance(index, BM25Index) else bm25_index(index, index_col, tokenizer)
+    asked = search.select(F.col("id").alias("id2"), F.explode(tokenizer.token_set(F.col(search_col))).alias("tok"))
+    asked = materialize(asked.join(known.weights, "tok"))
 
     def candidates(queries: DataFrame) -> DataFrame:
         """(id1, id2, part, kth, rest): scores by the tokens not marked late, the k-th of them, what late tokens can add."""
-        met = queries.where("not late").join(postings, "tok").select("id1", "id2", (F.col("idf") * F.col("share")).alias("part"))
-        summed = met.groupBy("id1", "id2").agg(F.sum("part").alias("part")).withColumn("kth", F.nth_value("part", k).over(whole))
-        rest = queries.where("late").groupBy("id2").agg(F.sum("bound").alias("rest"))
-        return summed.join(rest, "id2", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+        rest = queries.groupBy("id2").agg(F.sum(F.when(F.col("late"), F.col("bound")).otherwise(0.0)).alias("rest"))
+        early = queries.where("not late").join(rest, "id2").select("id2", "tok", "idf", "rest")
+        # A token that many queries have is parted, and its postings go with every part.
+        parts = early.groupBy("tok").agg(F.ceil(F.count("*") / salt_queries).cast("int").alias("parts"))
+        lists = known.lists.join(parts, "tok").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        crowded = parts.where("parts > 1")
+        spread = early.join(crowded, "tok", "left").withColumn("part", F.pmod(F.xxhash64("id2"), F.coalesce("parts", F.lit(1))).cast("int"))
+        met = spread.drop("parts").join(lists.drop("parts"), ["tok", "part"]).select("id2", "block", "idf", "rest", "ids", "shares")
+        placed = met.repartition("id2", "block").sortWithinPartitions("id2", "block")
+        near = materialize(placed.mapInArrow(_score_groups(k), "id2 long, id1 long, part double, rest double"))
+        ranked = top_k(near, k, score="part")
+        kth = ranked.groupBy("id2").agg(F.when(F.count("*") >= k, F.min("part")).alias("kth"))
+        return near.join(kth, "id2").where(F.coalesce(F.col("part") + F.col("rest") >= F.col("kth") - MARGIN, F.lit(True)))
 
     def completed(near: DataFrame, queries: DataFrame) -> DataFrame:
         """The candidates' scores with the late tokens."""
-        late = near.select("id1", "id2").join(queries.where("late").select("id2", "tok", "idf"), "id2").join(postings, ["tok", "id1"])
+        late = near.select("id1", "id2").join(queries.where("late").select("id2", "tok", "idf"), "id2").join(known.postings, ["tok", "id1"])
         late = late.select("id1", "id2", (F.col("idf") * F.col("share")).alias("part"))
         return near.select("id1", "id2", "part").unionByName(late).groupBy("id1", "id2").agg(F.sum("part").alias("part"))
 
-    near = F.coalesce(F.col("part") + F.col("rest") >= F.col("kth") - MARGIN, F.lit(True))
-    first = materialize(candidates(asked).where(near))
+    first = materialize(candidates(asked))
     sure = (F.col("rest") == 0.0) | F.coalesce(F.col("kth") > F.col("rest") + MARGIN, F.lit(False))
     settled = completed(first.where(sure), asked)
     # Of the other queries only tokens are late that together stay below the k-th score found so far.
-    known = first.groupBy("id2").agg(F.max(sure).alias("sure"), F.max("kth").alias("kth"))
-    open_ = asked.drop("late").join(known, "id2", "left").where("not coalesce(sure, false)")
+    done = first.groupBy("id2").agg(F.max(sure).alias("sure"), F.max("kth").alias("kth"))
+    open_ = asked.drop("late").join(done, "id2", "left").where("not coalesce(sure, false)")
     upto = Window.partitionBy("id2").orderBy("bound", "tok").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     late = F.coalesce(F.sum("bound").over(upto) < F.col("kth") - MARGIN, F.lit(False))
     again = materialize(open_.select("id2", "tok", "idf", "bound", late.alias("late")))
-    both = settled.unionByName(completed(candidates(again).where(near), again))
+    both = settled.unionByName(completed(candidates(again), again))
     return top_k(both.select("id1", "id2", F.round("part", 6).alias("score")), k)

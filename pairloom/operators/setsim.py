@@ -9,11 +9,12 @@ for the overlap: a bit that only one has is a token that only one has. Only pair
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators.skew import lookup_skewed
+from pairloom.operators.skew import MOST_PAIRS, block_join, lookup_skewed
 from pairloom.sources.scratch import materialize
 
 #: Guards bounds on counts against rounding; far below 1 and far above the error of a double.
@@ -53,23 +54,40 @@ def least_overlap(sim: str, threshold: float, n1: Column, n2: Column) -> Column:
     return F.ceil(F.sqrt((n1 * n2).cast("double")) * threshold - EPS)
 
 
-def rarity_ordered(sets: DataFrame, bitmap: bool = True) -> DataFrame:
-    """``sets`` (side, sid, toks) with ``toks`` in order of (records with the token, token), their number ``n``, and, if asked, a
-    bitmap. The bitmap pays where sets are large and many candidates fail, as with q-grams.
+def ranked_tokens(sets: DataFrame) -> DataFrame:
+    """(tok, df, rank) of the tokens of ``sets`` (…, toks): the number of sets with the token, and numbers in order of (df, tok).
 
-    The order is the same for both sides. A token in very many sets is looked up without being
+    It is written once. The ranks have gaps; a rarer token has the lower one.
+    """
+    counts = sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+    return materialize(counts.orderBy("df", "tok").withColumn("rank", F.monotonically_increasing_id()))
+
+
+def rarity_ordered(sets: DataFrame, bitmap: bool = True, ranks: DataFrame | None = None) -> DataFrame:
+    """``sets`` (side, sid, toks) with ``toks`` as ascending token ranks, rarest first, their number ``n``, and, if asked, a bitmap.
+
+    ``ranks`` are those of another table, if the sets are to be compared with that one: tokens that it
+    does not have come first, under negative numbers, as they meet nothing. The bitmap pays where sets are
+    large and many candidates fail, as with q-grams. A token in very many sets is looked up without being
     gathered in one task.
     """
+    if ranks is None:
+        return _by_rank(sets, ranked_tokens(sets), bitmap)
+    here = sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+    return _by_rank(sets, here.join(ranks.select("tok", "rank"), "tok", "left"), bitmap)
+
+
+def _by_rank(sets: DataFrame, known: DataFrame, bitmap: bool) -> DataFrame:
+    """``known`` (tok, df, rank) has every token of ``sets`` with its number of sets."""
     rows = sets.select("side", "sid", F.explode("toks").alias("tok"))
-    counts = rows.groupBy("tok").agg(F.count("*").alias("df"))
-    weighed = counts.crossJoin(F.broadcast(counts.agg(F.sum("df").alias("all"))))
-    found = lookup_skewed(rows, weighed, "tok", "df", F.col("all"))
-    ordered = F.array_sort(F.collect_list(F.struct("df", "tok")))
+    total = known.agg(F.sum("df").alias("all"))
+    found = lookup_skewed(rows, known.crossJoin(F.broadcast(total)), "tok", "df", F.col("all"))
+    rank = F.coalesce(F.col("rank"), -1 - F.shiftrightunsigned(F.xxhash64("tok"), 1))
     at = F.pmod(F.xxhash64("tok"), F.lit(64 * len(BITMAP)))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
     words = [F.bit_or(F.when(F.floor(at / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(b) for i, b in enumerate(BITMAP if bitmap else ())]
-    out = found.groupBy("side", "sid").agg(ordered.alias("o"), *words)
-    return out.select("side", "sid", F.transform("o", lambda x: x["tok"]).alias("toks"), F.size("o").alias("n"), *BITMAP[: len(words)])
+    out = found.groupBy("side", "sid").agg(F.array_sort(F.collect_list(rank)).alias("toks"), *words)
+    return out.select("side", "sid", "toks", F.size("toks").alias("n"), *BITMAP[: len(words)])
 
 
 def _bitmap(ordered: DataFrame) -> list[str]:
@@ -80,6 +98,7 @@ def _postings(ordered: DataFrame, sim: str, threshold: float) -> DataFrame:
     ratio = least_ratio(sim, threshold)
     length = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * ratio - EPS).cast("int") + 1)
     out = ordered.select("sid", "n", *_bitmap(ordered), F.posexplode(F.slice("toks", 1, length)).alias("pos", "tok"))
+    out = out.where("tok >= 0")  # others meet nothing
     if ratio >= 1.0:
         return out.withColumn("band", F.col("n"))
     # Similar sets lie in the same or in neighbouring bands of sizes.
@@ -92,15 +111,16 @@ def _room(sim: str, threshold: float) -> Column:
     return F.least(F.col("n1") - own("x", "y"), F.col("n2") - own("y", "x")) >= least_overlap(sim, threshold, F.col("n1"), F.col("n2"))
 
 
-def candidates(left: DataFrame, right: DataFrame | None, sim: str, threshold: float) -> DataFrame:
-    """(s1, s2) of rarity-ordered sets that pass all filters; within ``left`` (s1 < s2) if ``right`` is None."""
+def candidates(left: DataFrame, right: DataFrame | None, sim: str, threshold: float, most: int = MOST_PAIRS) -> DataFrame:
+    """(s1, s2) of rarity-ordered sets that pass all filters; within ``left`` (s1 < s2) if ``right`` is None.
+
+    A token and band that makes more than ``most`` pairs is joined in blocks.
+    """
     near, far = _postings(left, sim, threshold), _postings(left if right is None else right, sim, threshold)
     steps = [0] if least_ratio(sim, threshold) >= 1.0 else [-1, 0] if right is None else [-1, 0, 1]
-    x = near.select(F.col("sid").alias("s1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), "tok", "band", *[F.col(b).alias(f"x{b}") for b in _bitmap(near)])
-    y = far.select(
-        F.col("sid").alias("s2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("tok").alias("tok2"),
-        F.explode(F.array(*[F.col("band") + s for s in steps])).alias("band2"), *[F.col(b).alias(f"y{b}") for b in _bitmap(far)],
-    )
+    x = near.select(F.col("sid").alias("s1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.xxhash64("tok", "band").alias("key"), *[F.col(b).alias(f"x{b}") for b in _bitmap(near)])
+    y = far.withColumn("band", F.explode(F.array(*[F.col("band") + s for s in steps])))
+    y = y.select(F.col("sid").alias("s2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.xxhash64("tok", "band").alias("key"), *[F.col(b).alias(f"y{b}") for b in _bitmap(far)])
     follow = F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
     ratio = least_ratio(sim, threshold)
     alike = (F.least("n1", "n2") >= F.greatest("n1", "n2") * ratio - EPS) & (follow >= least_overlap(sim, threshold, F.col("n1"), F.col("n2")))
@@ -108,7 +128,8 @@ def candidates(left: DataFrame, right: DataFrame | None, sim: str, threshold: fl
         alike &= _room(sim, threshold)
     if right is None:  # each pair once, from the side of the larger set
         alike &= (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("s1") < F.col("s2")))
-    met = x.join(y, (x["tok"] == y["tok2"]) & (x["band"] == y["band2"]) & alike)
+    # Two tokens under one hash give candidates too many, which fail the exact test.
+    met = block_join(x, y, "key", most).where(alike)
     if right is None:
         return met.select(F.least("s1", "s2").alias("s1"), F.greatest("s1", "s2").alias("s2")).distinct()
     return met.select("s1", "s2").distinct()
@@ -124,14 +145,32 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, sim: str, thre
     return scored.where(F.col("score") > threshold if strict else F.col("score") >= threshold)
 
 
-def similarity_join(left: DataFrame, right: DataFrame, sim: str, threshold: float, strict: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class SetIndex:
+    """The sets of an index table, ordered by rarity, and the ranks of their tokens; both are written once."""
+
+    ordered: DataFrame
+    ranks: DataFrame
+
+
+def _held(sets: DataFrame) -> DataFrame:
+    return sets.where(F.size("toks") > 0).select(F.lit(1).alias("side"), "sid", "toks")
+
+
+def set_index(sets: DataFrame) -> SetIndex:
+    """An index of ``sets`` (sid, toks) that any number of search tables can be joined with."""
+    held = _held(sets)
+    ranks = ranked_tokens(held)
+    return SetIndex(materialize(_by_rank(held, ranks, True)), ranks)
+
+
+def similarity_join(left: DataFrame | SetIndex, right: DataFrame, sim: str, threshold: float, strict: bool = False, most: int = MOST_PAIRS) -> DataFrame:
     """(s1, s2, score): pairs of ``left`` and ``right`` (sid, toks) with a similarity of ``threshold`` or more.
 
     ``toks`` are arrays without repeats; null and empty ones match nothing. ``strict`` asks for more
     than ``threshold``. The ordered sets are written once when this is called; they are read for either side and again to verify.
     """
     _check(sim, threshold)
-    held = lambda df, side: df.where(F.size("toks") > 0).select(F.lit(side).alias("side"), "sid", "toks")
-    ordered = materialize(rarity_ordered(held(left, 1).unionByName(held(right, 2))))
-    one, two = ordered.where("side = 1"), ordered.where("side = 2")
-    return verified(candidates(one, two, sim, threshold), one, two, sim, threshold, strict)
+    index = left if isinstance(left, SetIndex) else set_index(left)
+    search = materialize(rarity_ordered(_held(right), ranks=index.ranks))
+    return verified(candidates(index.ordered, search, sim, threshold, most), index.ordered, search, sim, threshold, strict)

@@ -2,7 +2,8 @@
 
 Iterative operators read an intermediate result several times. It is written once as Parquet
 under ``spark.checkpoint.dir``, which cuts the lineage and survives the loss of an executor. Only
-where the session names no such folder (tests, one machine) a temporary one is made.
+on one machine (``local[...]``) a temporary folder is made where the session names none. The tables
+are deleted at the end of the :func:`scope` they were written in, else with the session's JVM.
 """
 
 from __future__ import annotations
@@ -10,40 +11,82 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
-_written: list[tuple[SparkSession, str]] = []
+_state = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or one made for this process."""
+    """The folder named by ``spark.checkpoint.dir``, or one made for this process if all executors are in it.
+
+    Raises on a cluster without such a folder: each executor would write to its own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="pairloom-"))
         atexit.register(shutil.rmtree, _own[0], True)
     return f"file://{_own[0]}"
 
 
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a scan of what was written. The schema is kept, also when empty."""
+    if getattr(_state, "dry", False):
+        return df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairloom-{uuid.uuid4().hex}"
+    where, files = _at(spark, path)
+    files.deleteOnExit(where)
     df.write.parquet(path)
-    _written.append((spark, path))
+    scopes = getattr(_state, "scopes", [])
+    if scopes:
+        scopes[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables written so far; call it when no result that reads them is open."""
-    mine = [x for x in _written if x[0] is spark]
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for entry in mine:
-        where = jvm.org.apache.hadoop.fs.Path(entry[1])
-        where.getFileSystem(conf).delete(where, True)
-        _written.remove(entry)
-    return len(mine)
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables written within are deleted at its end; results that read them must have been used by then."""
+    scopes = _state.scopes = getattr(_state, "scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in scopes.pop():
+            where, files = _at(spark, path)
+            files.delete(where, True)
+            files.cancelDeleteOnExit(where)
+
+
+@contextmanager
+def outliving() -> Iterator[None]:
+    """Tables written within stay when the scopes around end."""
+    held, _state.scopes = getattr(_state, "scopes", []), []
+    try:
+        yield
+    finally:
+        _state.scopes = held
+
+
+@contextmanager
+def dry() -> Iterator[None]:
+    """Within, :func:`materialize` writes nothing and gives its argument back: for plans that are shown and not run."""
+    before, _state.dry = getattr(_state, "dry", False), True
+    try:
+        yield
+    finally:
+        _state.dry = before
