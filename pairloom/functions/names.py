@@ -25,5 +25,6 @@ def normalize_name(name: Column, nicknames: dict[str, str] | None = None) -> Col
     known = NICKNAMES if nicknames is None else nicknames
     if known:
         short = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-        words = F.transform(words, lambda w: F.coalesce(short[w], w))
+        # The names are looked up by hash, the map by reading through it: most words are not in it.
+        words = F.transform(words, lambda w: F.when(w.isin(list(known)), F.coalesce(short[w], w)).otherwise(w))
     return F.array_join(F.array_sort(words), " ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,17 @@ class Tokenizer:
         """The distinct tokens."""
         return F.array_distinct(self.tokens(text))
 
+    def vocabulary(self, df: DataFrame, column: str) -> DataFrame:
+        """(tok, records, occurrences) of the tokens of a column."""
+        rows = df.select(self.tokens(F.col(f"`{column}`")).alias("toks"), F.monotonically_increasing_id().alias("row"))
+        once = rows.select("row", F.explode("toks").alias("tok"))
+        counts = once.groupBy("tok", "row").agg(F.count("*").alias("n"))
+        return counts.groupBy("tok").agg(F.count("*").alias("records"), F.sum("n").alias("occurrences"))
+
+    def nunique_tokens(self, df: DataFrame, column: str) -> int:
+        """The number of distinct tokens of a column."""
+        return df.select(F.explode(self.token_set(F.col(f"`{column}`"))).alias("tok")).agg(F.count_distinct("tok")).first()[0]
+
     def __str__(self) -> str:
         return self.name
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.plans.executor import Blocker
 from pairloom.plans.predicates import Predicate
 
+if TYPE_CHECKING:
+    from pairloom.plans.executor import Blocker
+
 
 def union(selectivities: Iterable[float]) -> float:
     """Of independent pair sets: the share in any."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
 
@@ -51,7 +51,7 @@ class PredicateNode(Node):
         a = blocker._side(blocker.table_a, blocker.id_a)
         b = blocker._side(blocker.table_b, blocker.id_b)
         if self.source is None:
-            return self.predicate.candidates(a, b)
+            return blocker._produce(self.predicate, a, b)
         if not self.predicate.streamable:
             raise RuntimeError(f"{self.predicate} cannot filter")
         rows, left, right = blocker._with_features(self.source.pairs(blocker).select("id1", "id2"), [self.predicate], a, b)
@@ -113,6 +113,68 @@ def ordered(sink: Node) -> list[Node]:
     return list(out)
 
 
+def substitute(sink: Node, old: Node, new: Node) -> Node:
+    """The graph with ``new`` in the place of every node equal to ``old``. Graphs are immutable; ``sink`` stays as it is."""
+    done: dict[Node, Node] = {}
+
+    def visit(node: Node) -> Node:
+        if node == old:
+            return new
+        if node not in done:
+            change = {}
+            for f in fields(node):
+                held = getattr(node, f.name)
+                if isinstance(held, Node):
+                    change[f.name] = visit(held)
+                elif isinstance(held, tuple):
+                    change[f.name] = tuple(visit(x) if isinstance(x, Node) else x for x in held)
+            done[node] = replace(node, **change)
+        return done[node]
+
+    return visit(sink)
+
+
+def pop(sink: Node, node: PredicateNode) -> Node:
+    """The graph without a filter: what read it reads its source."""
+    if not isinstance(node, PredicateNode) or node.source is None:
+        raise ValueError("only a filter can be taken out")
+    return substitute(sink, node, node.source)
+
+
+def insert_after(sink: Node, node: Node, predicate: Predicate) -> Node:
+    """The graph with ``predicate`` as a filter on the pairs of ``node``."""
+    return substitute(sink, node, PredicateNode(predicate, node))
+
+
+def insert_before(sink: Node, node: PredicateNode, predicate: Predicate) -> Node:
+    """The graph with ``predicate`` ahead of a predicate node: as a filter on its source, or as the producer of its pairs."""
+    if not isinstance(node, PredicateNode):
+        raise ValueError("only a predicate has one place before it")
+    return substitute(sink, node, PredicateNode(node.predicate, PredicateNode(predicate, node.source)))
+
+
+def clone(sink: Node) -> Node:
+    """An equal graph of nodes of its own."""
+    return substitute(sink, Node(), sink)
+
+
+def equivalent(one: Node, two: Node) -> bool:
+    """Whether two graphs give the same pairs by their form: the order of inputs of unions and intersections does not matter, nor that of filters."""
+
+    def form(node: Node) -> tuple:
+        if isinstance(node, PredicateNode):
+            chain, at = {node.predicate}, node.source
+            while isinstance(at, PredicateNode):
+                chain.add(at.predicate)
+                at = at.source
+            return ("predicates", frozenset(chain), form(at) if at is not None else None)
+        if isinstance(node, MinusNode):
+            return ("minus", form(node.left), form(node.right))
+        return (type(node).__name__, frozenset(map(form, node.inputs)))
+
+    return form(one) == form(two)
+
+
 def execute(sink: Node, blocker: Blocker, projection: list[str] | None = None) -> DataFrame:
     """One row per search record for a hand-built graph."""
     return setops.grouped(sink.pairs(blocker), blocker.table_b, blocker.id_b, projection)

@@ -7,6 +7,7 @@ are features: expressions over one table alone, computed once per record and not
 
 from __future__ import annotations
 
+import hashlib
 import operator
 from collections.abc import Callable
 
@@ -56,8 +57,19 @@ class Predicate:
         """Whether the predicate is true of a pair; never null."""
         raise NotImplementedError
 
+    def index_key(self) -> tuple | None:
+        """What an index of A depends on; None if the predicate has none. Predicates with equal keys share one."""
+        return None
+
+    def index(self, table_a: DataFrame) -> object:
+        """The index of A, built once for any number of search tables."""
+        raise NotImplementedError(f"{self} has no index")
+
     def candidates(self, table_a: DataFrame, table_b: DataFrame) -> DataFrame:
-        """(id1, id2) of all pairs for which the predicate is true, once each. Both tables have their id as ``id``."""
+        """(id1, id2) of all pairs for which the predicate is true, once each. Both tables have their id as ``id``.
+
+        A predicate with an index takes it as a third argument, ``prepared``.
+        """
         raise NotImplementedError(f"{self} is not indexable")
 
     def contains(self, other: Predicate) -> bool:
@@ -154,12 +166,19 @@ class SetSimPredicate(ThresholdPredicate):
         known = x.isNotNull() & y.isNotNull()
         return F.when(known, setsim.score_of(self.sim_name, F.size(F.array_intersect(x, y)), F.size(x), F.size(y)))
 
-    def candidates(self, table_a, table_b) -> DataFrame:
+    def index_key(self):
+        return ("sets", str(self.tokenizer), self.index_col) if self.indexable else None
+
+    def index(self, table_a) -> setsim.SetIndex:
+        (one,) = self.features()[0].values()
+        return setsim.set_index(table_a.select(F.col("id").alias("sid"), one.alias("toks")))
+
+    def candidates(self, table_a, table_b, prepared: setsim.SetIndex | None = None) -> DataFrame:
         if not self.indexable:
             return super().candidates(table_a, table_b)
-        (one,), (two,) = (list(x.values()) for x in self.features())
-        left, right = table_a.select(F.col("id").alias("sid"), one.alias("toks")), table_b.select(F.col("id").alias("sid"), two.alias("toks"))
-        found = setsim.similarity_join(left, right, self.sim_name, self.val, strict=self.op is operator.gt)
+        (two,) = self.features()[1].values()
+        right = table_b.select(F.col("id").alias("sid"), two.alias("toks"))
+        found = setsim.similarity_join(prepared or self.index(table_a), right, self.sim_name, self.val, strict=self.op is operator.gt)
         return found.select(F.col("s1").alias("id1"), F.col("s2").alias("id2"))
 
     def _again(self, op):
@@ -188,9 +207,10 @@ class EditDistancePredicate(ThresholdPredicate):
         return similarity.edit_similarity(a(f"text:{self.index_col}"), b(f"text:{self.search_col}"))
 
     def holds(self, a, b) -> Column:
-        if self.op is operator.ge:
-            at_least = similarity.edit_at_least(a(f"text:{self.index_col}"), b(f"text:{self.search_col}"), self.val)
-            return F.coalesce(at_least, F.lit(False))
+        x, y = a(f"text:{self.index_col}"), b(f"text:{self.search_col}")
+        if self.op in (operator.ge, operator.lt):
+            at_least = similarity.edit_at_least(x, y, self.val)
+            return F.coalesce(at_least if self.op is operator.ge else ~at_least, F.lit(False))
         return super().holds(a, b)
 
 
@@ -311,7 +331,7 @@ class NameMatchPredicate(_Equality):
         return names.normalize_name(column, self.nicknames)
 
     def sim(self) -> tuple:
-        known = "" if self.nicknames is None else str(hash(tuple(sorted(self.nicknames.items()))))
+        known = "" if self.nicknames is None else hashlib.sha256(repr(sorted(self.nicknames.items())).encode()).hexdigest()[:16]
         return ("name_match", known, self.index_col, self.search_col)
 
     def invert(self) -> Predicate:
@@ -338,12 +358,18 @@ class BM25TopkPredicate(Predicate):
     def contains(self, other: Predicate) -> bool:
         return type(self) is type(other) and self.sim() == other.sim() and self.k >= other.k
 
-    def scored(self, table_a: DataFrame, table_b: DataFrame, k: int | None = None) -> DataFrame:
+    def index_key(self):
+        return ("bm25", self.tokenizer, self.index_col)
+
+    def index(self, table_a) -> bm25.BM25Index:
+        return bm25.bm25_index(table_a, self.index_col, ANALYZERS[self.tokenizer])
+
+    def scored(self, table_a: DataFrame, table_b: DataFrame, k: int | None = None, prepared: bm25.BM25Index | None = None) -> DataFrame:
         """(id1, id2, score, rank) of the ``k`` best."""
-        return bm25.bm25_top_k(table_a, table_b, self.index_col, self.search_col, ANALYZERS[self.tokenizer], k or self.k)
+        return bm25.bm25_top_k(prepared or table_a, table_b, self.index_col, self.search_col, ANALYZERS[self.tokenizer], k or self.k)
 
-    def candidates(self, table_a, table_b) -> DataFrame:
-        return self.scored(table_a, table_b).select("id1", "id2")
+    def candidates(self, table_a, table_b, prepared: bm25.BM25Index | None = None) -> DataFrame:
+        return self.scored(table_a, table_b, prepared=prepared).select("id1", "id2")
 
     def holds(self, a, b) -> Column:
         raise RuntimeError("a top-k predicate cannot be used as a filter")
@@ -362,7 +388,7 @@ class PairsPredicate(Predicate):
         self.name, self.pairs = name, pairs
 
     def key(self) -> tuple:
-        return (self.name,)
+        return (self.name, id(self.pairs))  # two tables under one name are two predicates
 
     def candidates(self, table_a, table_b) -> DataFrame:
         return self.pairs.select("id1", "id2").distinct()

@@ -113,7 +113,7 @@ def set_operations(spark, folder):
 
 
 def top_k_merge(spark, folder):
-    """The three best of partial results by year before and after 2010."""
+    """The three best of partial results over the even and the odd ids of A."""
     run = blocker(spark, folder)
     a, b = run._side(run.table_a, "_id"), run._side(run.table_b, "_id")
     scored = BM25TopkPredicate("title", "title", "standard", 5).scored(a, b).drop("rank")
@@ -138,6 +138,38 @@ def hash_partition(spark, folder):
     return merged.join(held, "part")
 
 
+def name_match_short(spark, folder):
+    """Works of the same authors by short forms of their given names, as name_map has them."""
+    rows = table(spark, folder, "name_map").where("name is not null").groupBy("name").agg(F.min("short").alias("short")).limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("the short forms are a literal map of at most 1,000 names")
+    known = {r["name"]: r["short"] for r in rows}
+    return blocker(spark, folder).pairs(Program([KeepRule([NameMatchPredicate("authors", "authors", nicknames=known)])]))
+
+
+def hash_partition_sums(spark, folder):
+    """What the four hash parts of the rows and of the listed ids add up to."""
+    parts = hash_partition(spark, folder)
+    return parts.agg(F.count("*").cast("int").alias("parts"), F.sum("n_rows").cast("long").alias("n_rows"), F.sum("n_ids").cast("long").alias("n_ids"))
+
+
+def in_parts(spark, folder):
+    """The flagship query and the best titles, run over three parts of B one after the other."""
+    rules = [KeepRule([jaccard(0.8, GRAMS)]), KeepRule([BM25TopkPredicate("title", "title", "standard", 2)])]
+    return blocker(spark, folder).pairs_in_parts(Program(rules), 3)
+
+
+def bm25_by(tokenizer):
+    """The five best titles by another analyzer."""
+
+    def run(spark, folder):
+        works = blocker(spark, folder)
+        a, b = works._side(works.table_a, "_id"), works._side(works.table_b, "_id")
+        return BM25TopkPredicate("title", "title", tokenizer, 5).scored(a, b)
+
+    return run
+
+
 def recall_eval(spark, folder):
     """How the flagship query finds pairs of equal lower-cased titles."""
     gold = blocker(spark, folder).pairs(Program([KeepRule([ExactMatchPredicate("title", "title", False, lowercase=True)])]))
@@ -197,8 +229,29 @@ select id1, id2, {score} as score from p join nx on nx._id = id1 join ny on ny._
 ASCII = "regexp_replace({}.title, '[^ -~]', '', 'g')"
 SQL_WORKS = " join table_a a on a._id = id1 join table_b b on b._id = id2 "
 SQL_NAME = "array_to_string(list_sort(list_filter(regexp_extract_all(lower({}), '[a-z]+'), lambda w: length(w) > 1)), ' ')"
+GRAMS_SQL = SQL_TOKENS["3gram"]
+WORDS_SQL = r"list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda w: w <> '')"
+
+
+def sql_short(name):
+    """SQL for (_id, name) with short forms put in."""
+    return f"""(with w as (select _id, unnest(regexp_extract_all(lower(authors), '[a-z][a-z]+')) as w from {name} where authors is not null),
+m as (select name, min(short) as short from name_map where name is not null group by 1)
+select t._id, coalesce(string_agg(coalesce(short, w), ' ' order by coalesce(short, w)), '') as name from {name} t left join w on w._id = t._id left join m on m.name = w.w where t.authors is not null group by 1)"""
+
+
 SQL_EDIT = f"1 - levenshtein({ASCII.format('a')}, {ASCII.format('b')}) / greatest(length({ASCII.format('a')}), length({ASCII.format('b')}))"
 SQL_JARO = f"jaro_similarity({ASCII.format('a')}, {ASCII.format('b')})"
+def sql_smith_waterman(a, b):
+    """SQL for the similarity: the alignment matrix row after row, as lists with the best cell at the end. A gap in a row is a running maximum."""
+    codes = lambda t: f"list_transform(string_split({t}, ''), lambda c: ord(c)::double)"
+    fresh = f"list_transform(range(1, length({b}) + 1), lambda j: greatest(r[j] + ({codes(b)}[j] = ch[1])::int, r[j + 1] - 1, 0.0) + j)"
+    row = f"list_transform([{fresh}], lambda t: list_transform(range(1, length({b}) + 1), lambda j: list_max(t[:j]) - j))[1]"
+    step = f"list_transform([{row}], lambda n: [0.0] || n || [greatest(r[-1], list_max(n))])[1]"
+    rows = f"list_transform({codes(a)}, lambda c: [c])"
+    return f"list_reduce({rows}, lambda r, ch: {step}, list_resize([0.0::double], length({b}) + 2, 0.0))[-1] / greatest(length({a}), length({b}))"
+
+
 SQL_SAME_START = f"""list_sum(list_transform(generate_series(1, 4), lambda i: (length({ASCII.format('a')}) >= i and left({ASCII.format('a')}, i) = left({ASCII.format('b')}, i))::int))"""
 
 
@@ -240,6 +293,11 @@ QUERIES = {
     "jw_filter": program([[jaccard(0.4), JaroWinklerPredicate("ascii_title", "ascii_title", GE, 0.9)]]),
     "sw_filter": program([[jaccard(0.4), SmithWatermanPredicate("ascii_title", "ascii_title", GE, 0.8)]]),
     "bm25_top10": bm25_top10,
+    "bm25_3gram": bm25_by("3gram"),
+    "bm25_whitespace": bm25_by("whitespace"),
+    "in_parts": in_parts,
+    "name_match_short": name_match_short,
+    "hash_partition_sums": hash_partition_sums,
     "bm25_two_fields_intersect": program([[BM25TopkPredicate("title", "title", "standard", 10), BM25TopkPredicate("description", "description", "standard", 20)]]),
     "bm25_then_cosine": program([[BM25TopkPredicate("title", "title", "standard", 10), CosinePredicate("title", "title", ALNUM, GE, 0.6)]]),
     "union_two_rules": program([[jaccard(0.7)], [NameMatchPredicate("authors", "authors"), ExactMatchPredicate("year", "year", False)]]),
@@ -288,7 +346,14 @@ SQL = {
     "edit_filter": f"select id1, id2 from {sql_sim('jaccard', 'alnum')}{SQL_WORKS}where round(score, 12) >= 0.4 and {SQL_EDIT} >= 0.8",
     "jaro_filter": f"select id1, id2 from {sql_sim('jaccard', 'alnum')}{SQL_WORKS}where round(score, 12) >= 0.4 and {SQL_JARO} >= 0.85",
     "jw_filter": f"select id1, id2 from {sql_sim('jaccard', 'alnum')}{SQL_WORKS}where round(score, 12) >= 0.4 and {SQL_JARO} + {SQL_SAME_START} * 0.1 * (1 - {SQL_JARO}) >= 0.9",
+    "sw_filter": f"""with p as (select id1, id2, {ASCII.format('a')} as x, {ASCII.format('b')} as y from {sql_sim('jaccard', 'alnum')}{SQL_WORKS}where round(score, 12) >= 0.4)
+select id1, id2 from p where x <> '' and y <> '' and {sql_smith_waterman('x', 'y')} >= 0.8""",
     "bm25_top10": f"select * from {sql_bm25('title', 10)}",
+    "bm25_3gram": f"select * from {sql_bm25('title', 5, GRAMS_SQL)}",
+    "bm25_whitespace": f"select * from {sql_bm25('title', 5, WORDS_SQL)}",
+    "in_parts": _sim("jaccard", "3gram", ">=", 0.8) + f" union select id1, id2 from {sql_bm25('title', 2)}",
+    "name_match_short": f"with x as {sql_short('table_a')}, y as {sql_short('table_b')} select x._id as id1, y._id as id2 from x join y using (name)",
+    "hash_partition_sums": "select 4 as parts, (select count(*) from table_a) as n_rows, (select count(id) from (select unnest(id1_list) as id from result_lists)) as n_ids",
     "bm25_two_fields_intersect": f"select id1, id2 from {sql_bm25('title', 10)} intersect select id1, id2 from {sql_bm25('description', 20)}",
     "bm25_then_cosine": f"select id1, id2 from {sql_bm25('title', 10)} intersect " + _sim("cosine", "alnum", ">=", 0.6),
     "union_two_rules": _sim("jaccard", "alnum", ">=", 0.7) + f" union select a._id, b._id from table_a a join table_b b on a.year = b.year and {SQL_NAME.format('a.authors')} = {SQL_NAME.format('b.authors')}",

@@ -45,7 +45,7 @@ def _at(spark: SparkSession, path: str):
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a scan of what was written. The schema is kept, also when empty."""
-    if getattr(_state, "dry", False):
+    if is_dry():
         return df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairloom-{uuid.uuid4().hex}"
@@ -82,6 +82,10 @@ def outliving() -> Iterator[None]:
         _state.scopes = held
 
 
+def is_dry() -> bool:
+    return getattr(_state, "dry", False)
+
+
 @contextmanager
 def dry() -> Iterator[None]:
     """Within, :func:`materialize` writes nothing and gives its argument back: for plans that are shown and not run."""

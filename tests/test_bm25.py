@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 from pairloom.functions.tokenizers import WhiteSpaceTokenizer
+from pairloom.operators import bm25
 from pairloom.operators.bm25 import K1, B, bm25_top_k
 
 
@@ -28,16 +29,19 @@ def brute(index, search, k):
 
 @pytest.mark.parametrize("k", [1, 3, 200])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_pruned_search_is_exact(spark, k, seed):
+def test_pruned_search_is_exact(spark, k, seed, monkeypatch):
+    if seed == 2:  # several blocks, several slices, parted tokens
+        monkeypatch.setattr(bm25, "SLICE", 50)
     r = random.Random(seed)
     common, rare = ["the", "of", "for"], [f"w{i}" for i in range(60)]
     text = lambda: " ".join(r.choice(common) if r.random() < 0.5 else r.choice(rare) for _ in range(r.randrange(1, 9)))
-    index = [(i, text()) for i in range(120)] + [(900, None), (901, ""), (902, "the " * 3000)]
+    rows = [(i, text()) for i in range(120)] + [(900, None), (901, ""), (902, "the " * 3000)]
     search = [(1000 + i, text()) for i in range(40)] + [(2000, "the"), (2001, "of the for"), (2002, None), (2003, "unknown"), (2004, "w1"), (2005, " ")]
-    a, b = spark.createDataFrame(index, "id long, t string"), spark.createDataFrame(search, "id long, t string")
-    got = {(x["id1"], x["id2"], x["score"], x["rank"]) for x in bm25_top_k(a, b, "t", "t", WhiteSpaceTokenizer(), k).collect()}
-    assert {(i, j, rank) for i, j, _, rank in got} == {(i, j, rank) for i, j, _, rank in brute(index, search, k)}
-    assert got == brute(index, search, k)
+    a, b = spark.createDataFrame(rows, "id long, t string"), spark.createDataFrame(search, "id long, t string")
+    index = bm25.bm25_index(a, "t", WhiteSpaceTokenizer(), block_docs=30) if seed == 2 else a
+    got = {(x["id1"], x["id2"], x["score"], x["rank"]) for x in bm25_top_k(index, b, "t", "t", WhiteSpaceTokenizer(), k, salt_queries=7 if seed == 2 else 20_000).collect()}
+    assert {(i, j, rank) for i, j, _, rank in got} == {(i, j, rank) for i, j, _, rank in brute(rows, search, k)}
+    assert got == brute(rows, search, k)
 
 
 def test_empty_tables(spark):

@@ -1,11 +1,12 @@
 import operator
 from itertools import product
+from pathlib import Path
 
 import pytest
 from pairloom.functions import similarity
 from pairloom.functions import tokenizers as tok
 from pairloom.operators import setops, setsim, topk
-from pairloom.operators.skew import lookup_skewed
+from pairloom.operators.skew import block_join, crowded_keys, lookup_skewed
 from pairloom.plans import estimate, nodes, optimizer
 from pairloom.plans import predicates as P
 from pairloom.plans.evaluate import evaluate
@@ -218,5 +219,100 @@ def test_checks_and_partitions(spark, tables):
     assert partitioning.human_bytes(2048) == "2.0 KiB" and partitioning.size_in_bytes(__file__) > 0
 
 
-def test_scratch_tables_are_released(spark):
-    assert scratch.materialize(spark.range(3)).count() == 3
+def files(folder):
+    return {p.name for p in Path(scratch.shared_dir(folder).removeprefix("file://")).glob("pairloom-*")}
+
+
+def test_scratch_tables_live_as_long_as_their_scope(spark):
+    before = files(spark)
+    with scratch.scope():
+        assert scratch.materialize(spark.range(3)).count() == 3 and len(files(spark) - before) == 1
+        with scratch.outliving():
+            kept = scratch.materialize(spark.range(4))
+    assert len(files(spark) - before) == 1 and kept.count() == 4
+    with scratch.dry():
+        assert scratch.materialize(spark.range(5)).count() == 5
+    assert len(files(spark) - before) == 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+    class Session:
+        conf, sparkContext = {}, Context
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session)
+
+
+@pytest.mark.parametrize("most", [1, 10, 10_000])
+def test_crowded_keys_in_blocks_lose_no_pair(spark, rows, most):
+    keys = [1] * 40 + [2] * 3 + list(range(10, 20))
+    one = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key long, x long").repartition(3)
+    two = spark.createDataFrame([(k, 100 + i) for i, k in enumerate(keys)], "key long, y long").repartition(2)
+    want = sorted(((k, i, 100 + j) for i, k in enumerate(keys) for j, m in enumerate(keys) if k == m), key=repr)
+    assert rows(block_join(one, two, "key", most).select("key", "x", "y")) == want
+    assert (crowded_keys(one, two, "key", most) is None) == (most == 10_000)
+
+
+def test_parts_and_shared_indexes_and_explain(spark, tables, rows):
+    program = Program([KeepRule([jac(0.4)]), KeepRule([P.BM25TopkPredicate("t", "t", "whitespace", 2), same_year()])], [DropRule([jac(0.9)])])
+    run = Blocker(*tables, check=True)
+    want = rows(run.pairs(program))
+    assert want and rows(run.pairs_in_parts(program, 2)) == want
+    assert len(run._indexes) == 2 and run.parts_for(program, 10) >= 1
+    before = files(spark)
+    assert "PRODUCED BY" in Blocker(*tables).explain(program) and files(spark) == before
+    _, stats = run.execute(program, profile=True)
+    assert {s.role for s in stats.predicates} == {"produce", "filter"} and all(s.pairs >= 0 for s in stats.predicates)
+    with pytest.raises(ValueError, match="duplicate"):
+        Blocker(tables[0].union(tables[0]), tables[1], check=True)
+
+
+def test_bm25_is_asked_only_for_records_of_the_other_predicates(tables, rows):
+    top = P.BM25TopkPredicate("t", "t", "whitespace", 2)
+    both = Program([KeepRule([top, same_year()])])
+    best = {tuple(r) for r in Blocker(*tables).pairs(Program([KeepRule([top])])).collect()}
+    years = {tuple(r) for r in Blocker(*tables).pairs(Program([KeepRule([same_year()])])).collect()}
+    assert rows(Blocker(*tables).pairs(both)) == sorted(best & years, key=repr) != []
+
+
+def test_pairs_of_two_tables_under_one_name_differ(spark):
+    one, two = spark.createDataFrame([(1, 2)], "id1 long, id2 long"), spark.createDataFrame([(3, 4)], "id1 long, id2 long")
+    assert P.PairsPredicate("x", one) != P.PairsPredicate("x", two) and P.PairsPredicate("x", one) == P.PairsPredicate("x", one)
+
+
+def test_graphs_are_edited_into_new_ones(tables, rows):
+    base, drop = nodes.PredicateNode(jac(0.3)), same_year()
+    graph = nodes.UnionNode((base, nodes.PredicateNode(same_year())))
+    after = nodes.insert_after(graph, base, drop)
+    assert after.sources[0] == nodes.PredicateNode(drop, base) and graph.sources[0] == base
+    assert nodes.pop(after, after.sources[0]) == graph
+    with pytest.raises(ValueError, match="taken out"):
+        nodes.pop(graph, base)
+    first = nodes.insert_before(after, after.sources[0], jac(0.2)).sources[0]
+    assert first.source.predicate == jac(0.2) and first.source.source == base
+    copy = nodes.clone(graph)
+    assert copy == graph and copy is not graph
+    turned = nodes.UnionNode((nodes.PredicateNode(same_year()), base))
+    assert turned != graph and nodes.equivalent(turned, graph) and not nodes.equivalent(after, graph)
+    x, y = jac(0.3), P.EditDistancePredicate("t", "t", operator.ge, 0.1)
+    assert nodes.equivalent(nodes.PredicateNode(x, nodes.PredicateNode(y, turned)), nodes.PredicateNode(y, nodes.PredicateNode(x, turned)))
+
+
+@pytest.mark.parametrize("least", [0.0, 0.5, 0.8, 1.0])
+def test_edit_distance_stops_early_without_another_result(spark, least):
+    texts = ["", "a", "abc" * 9, "abd" * 9, "x" * 300, "x" * 280, "y" * 2000, "y" * 1990 + "z" * 10, None]
+    df = spark.createDataFrame([(x, y) for x in texts for y in texts], "x string, y string")
+    for row in df.select(similarity.edit_at_least(F.col("x"), F.col("y"), least).alias("got"), (similarity.edit_similarity(F.col("x"), F.col("y")) >= least).alias("want")).collect():
+        assert row["got"] == row["want"]
+
+
+def test_vocabulary(spark):
+    df = spark.createDataFrame([("a b a",), ("B",), (None,), ("",)], "t string")
+    assert sorted(map(tuple, WORDS.vocabulary(df, "t").collect())) == [("a", 1, 2), ("b", 2, 2)] and WORDS.nunique_tokens(df, "t") == 2
