@@ -1,17 +1,23 @@
 """Frequency of every distinct term by burst tries.
 
 A burst trie keeps terms in small containers; a container that grows beyond its capacity bursts
-into one container per next character, so the prefixes adapt to the terms. Every worker counts its
-rows in such tries. Each container of a worker becomes one row, routed by a prefix; matching
-subtrees then meet in one task and are merged. Routing prefixes are as long as the terms below
-them are many, so no subtree outgrows a task.
+into one container per next character, so the prefixes adapt to the terms. Rows are brought together
+by record, so that every worker can count occurrences and records of its terms in such tries before
+anything is shuffled by term. Each container of a worker becomes one row. The rows below every short
+prefix are summed in one pass: prefixes that are too heavy for one task part into longer ones, and
+what is too heavy at the longest parts by the hash of its terms, so no route outgrows a task. Matching
+subtrees meet by route and are merged.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +27,12 @@ from pairloom.sources.scratch import materialize
 CAPACITY = 256
 #: Terms in a worker's trie before its containers are handed on.
 TRIE_TERMS = 400_000
+#: Terms that are counted at once before they go into a trie.
+SLICE = 300_000
+#: Container entries of all workers that meet in one route.
+ROUTE_ENTRIES = 100_000
+#: The longest prefix that is a route; what is heavier parts by hash.
+DEEPEST = 8
 
 
 class BurstTrie:
@@ -94,45 +106,121 @@ def _burst(container: _Container) -> dict:
     return node
 
 
-OUT = pa.schema([("route", pa.string()), ("prefix", pa.string()), ("tails", pa.list_(pa.string())), ("occurrences", pa.list_(pa.int64())), ("records", pa.list_(pa.int64()))])
-SQL_OUT = "route string, prefix string, tails array<string>, occurrences array<long>, records array<long>"
+ENTRIES = [("tails", pa.list_(pa.string())), ("occurrences", pa.list_(pa.int64())), ("records", pa.list_(pa.int64()))]
+SQL_ENTRIES = "tails array<string>, occurrences array<long>, records array<long>"
+CONTAINERS = pa.schema([("prefix", pa.string()), *ENTRIES])
+ROUTED = pa.schema([("route", pa.string()), *CONTAINERS])
 
 
-def _route(prefix: str, routes: set[str]) -> str:
-    depth = 0
-    while prefix[:depth] in routes and depth < len(prefix):
-        depth += 1
-    return prefix[:depth]
+def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for start in range(0, len(rows), 512):
+        columns = zip(*rows[start : start + 512], strict=True)
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _rows(trie: BurstTrie, routes: set[str]) -> Iterator[pa.RecordBatch]:
-    by_route: dict[tuple[str, str], list] = {}
-    for prefix, held in trie.containers():
-        route = _route(prefix, routes)
-        if route in routes:  # the container is above the routing prefixes: its terms part here
-            for tail, counts in held.items():
-                term = prefix + tail
-                by_route.setdefault((_route(term, routes), ""), []).append((term, *counts))
-        else:
-            by_route.setdefault((route, prefix), []).extend((tail, *counts) for tail, counts in held.items())
-    keys = list(by_route)
-    for start in range(0, len(keys), 512):
-        some = keys[start : start + 512]
-        lists = [by_route[k] for k in some]
-        columns = [[[x[i] for x in rows] for rows in lists] for i in range(3)]
-        yield pa.record_batch([pa.array([k[0] for k in some], pa.string()), pa.array([k[1] for k in some], pa.string()), *(pa.array(c, f.type) for c, f in zip(columns, list(OUT)[2:], strict=True))], schema=OUT)
+def _containers(trie: BurstTrie) -> Iterator[pa.RecordBatch]:
+    rows = [(prefix, list(held), [x[0] for x in held.values()], [x[1] for x in held.values()]) for prefix, held in trie.containers()]
+    yield from _batches(rows, CONTAINERS)
+
+
+def _distinct_counts(rows: pa.Table) -> tuple[list, np.ndarray, np.ndarray, int]:
+    """Of (rec, terms, n) rows the distinct terms with occurrences and records, and the number of records. ``n`` is how often each row counts."""
+    lists = rows["terms"].combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    length = np.nan_to_num(length.astype(float)).astype(np.int64)
+    flat = lists.flatten().dictionary_encode()
+    if not len(flat):
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    number = rows["rec"].combine_chunks().dictionary_encode()
+    number = number.combine_chunks() if isinstance(number, pa.ChunkedArray) else number
+    record = np.repeat(number.indices.to_numpy().astype(np.int64), length)
+    code = flat.indices.to_numpy().astype(np.int64)
+    terms = len(flat.dictionary)
+    occurrences = np.bincount(code, weights=np.repeat(rows["n"].to_numpy(), length), minlength=terms).astype(np.int64)
+    records = np.bincount(np.unique(record * terms + code) % terms, minlength=terms)
+    return flat.dictionary.to_pylist(), occurrences, records, len(np.unique(record))
 
 
-def _count(routes: set[str], capacity: int):
+def _count(capacity: int):
+    """Rows (rec, terms, n) come record by record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, held, size, seen = BurstTrie(capacity), [], 0, 0
+
+        def add(rows: pa.Table) -> int:
+            terms, occurrences, records, n = _distinct_counts(rows)
+            for term, o, r in zip(terms, occurrences.tolist(), records.tolist(), strict=True):
+                trie.add(term, o, r)
+            return n
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += int(pc.sum(pc.list_value_length(batch.column("terms"))).as_py() or 0)
+            if size < SLICE:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            rec = rows["rec"].to_numpy()
+            last = int(np.flatnonzero(rec != rec[-1]).max(initial=-1)) + 1  # the last record may go on
+            seen += add(rows.slice(0, last)) if last else 0
+            held = rows.slice(last).to_batches()
+            size = int(pc.sum(pc.list_value_length(rows["terms"].slice(last))).as_py() or 0)
+            if trie.terms >= TRIE_TERMS:
+                yield from _containers(trie)
+                trie = BurstTrie(capacity)
+        if held:
+            seen += add(pa.Table.from_batches(held))
+        yield from _containers(trie)
+        # How many records were counted here: a row without a prefix.
+        yield from _batches([(None, [], [], [seen])], CONTAINERS)
+
+    return run
+
+
+def _count_new(capacity: int):
+    """Rows (term, n), each of another record or term."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = BurstTrie(capacity)
         for batch in batches:
             for term, n in zip(batch.column("term").to_pylist(), batch.column("n").to_pylist(), strict=True):
                 trie.add(term, n, 1)
             if trie.terms >= TRIE_TERMS:
-                yield from _rows(trie, routes)
+                yield from _containers(trie)
                 trie = BurstTrie(capacity)
-        yield from _rows(trie, routes)
+        yield from _containers(trie)
+
+    return run
+
+
+def _route(term: str, heavy: dict[str, int]) -> str:
+    """The shortest prefix of the term that is not too heavy; at the longest, with a part by hash."""
+    depth = 0
+    while depth < len(term) and depth < DEEPEST and term[:depth] in heavy:
+        depth += 1
+    prefix = term[:depth]
+    parts = heavy.get(prefix, 0) if depth == DEEPEST else 0
+    return f"{prefix}\x00{zlib.crc32(term.encode()) % parts}" if parts else prefix
+
+
+def _place(heavy: dict[str, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, parted = [], {}
+            for row in batch.to_pylist():
+                prefix = row["prefix"]
+                route = _route(prefix, heavy)
+                if route not in heavy and "\x00" not in route:
+                    whole.append((route, prefix, row["tails"], row["occurrences"], row["records"]))
+                    continue
+                # The container stands above the routes: its terms part here.
+                for tail, n, records in zip(row["tails"], row["occurrences"], row["records"], strict=True):
+                    entry = parted.setdefault(_route(prefix + tail, heavy), ([], [], []))
+                    for at, x in zip(entry, (prefix + tail, n, records), strict=True):
+                        at.append(x)
+            yield from _batches(whole + [(route, "", *entry) for route, entry in parted.items()], ROUTED)
 
     return run
 
@@ -164,28 +252,60 @@ def _merge(capacity: int):
     return run
 
 
-def routing_prefixes(terms: DataFrame, parts: int, deepest: int = 12) -> set[str]:
-    """Prefixes that are too heavy to be one subtree and part into longer ones.
+def heavy_prefixes(containers: DataFrame, entries: int = ROUTE_ENTRIES) -> dict[str, int]:
+    """Prefixes of up to :data:`DEEPEST` characters with more than ``entries`` container entries below, and in how many parts they would fit.
 
-    Level by level the rows below each prefix are counted; a prefix with more than one ``parts``-th
-    of all rows parts further. At each level there are fewer than ``parts`` such, so at most
-    ``parts * deepest`` prefixes come to the driver, however many terms there are.
+    At each length there are fewer than all entries / ``entries`` such, so as many times :data:`DEEPEST` come to the driver.
+    """
+    weights = containers.select("prefix", F.size("tails").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(DEEPEST))).alias("depth"))
+    own = weights.where(F.col("depth") <= F.length("prefix")).select(F.expr("substring(prefix, 1, depth)").alias("prefix"), "n")
+    found = lambda rows: {r["prefix"]: math.ceil(r["n"] / entries) for r in rows.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > entries).collect()}
+    heavy = found(own)
+    if not heavy:
+        return heavy
+    # The terms of a container right at a heavy prefix part by their next characters.
+    at = F.broadcast(containers.sparkSession.createDataFrame([(p,) for p in heavy], "prefix string"))
+    short = containers.where(F.length("prefix") < DEEPEST).join(at, "prefix").select("prefix", F.explode("tails").alias("tail"))
+    term = short.select(F.concat("prefix", "tail").alias("term"), F.explode(F.sequence(F.length("prefix") + 1, F.lit(DEEPEST))).alias("depth"))
+    below = term.where(F.col("depth") <= F.length("term")).select(F.expr("substring(term, 1, depth)").alias("prefix"), F.lit(1).alias("n"))
+    return found(own.unionByName(below))
+
+
+def routed(containers: DataFrame, entries: int = ROUTE_ENTRIES) -> DataFrame:
+    """(route, prefix, tails, occurrences, records): every container, or part of one, with the route its terms meet on."""
+    return containers.mapInArrow(_place(heavy_prefixes(containers, entries)), f"route string, prefix string, {SQL_ENTRIES}")
+
+
+def worker_containers(bags: DataFrame, record: str, terms: str, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
+    """(prefix, tails, occurrences, records) of the tries of all workers, and the number of records with any term.
+
+    Bags are shuffled whole, by record. A record with more than a thousandth of all rows would fill a
+    task: its terms are made distinct one by one instead. There are fewer than a thousand such, they are broadcast.
     """
-    total = terms.count()
-    heavy, level = {""}, [""]
-    for depth in range(1, deepest + 1):
-        prefix = F.substring("term", 1, depth)
-        rows = terms.where(F.length("term") >= depth)
-        if depth > 1:
-            rows = rows.where(F.substring("term", 1, depth - 1).isin(level))
-        level = [r["prefix"] for r in rows.groupBy(prefix.alias("prefix")).count().where(F.col("count") * parts > total).collect()]
-        heavy |= set(level)
-        if not level:
-            break
-    return heavy
-
-
-def term_frequencies(bags: DataFrame, record: str, terms: str, capacity: int = CAPACITY, parts: int = 64) -> DataFrame:
+    clean = F.transform(F.col(f"`{terms}`"), lambda x: F.regexp_replace(F.lower(x), r"^\s+|\s+$", ""))
+    bags = bags.select(F.col(f"`{record}`").alias("rec"), F.filter(clean, lambda x: x != "").alias("terms"))
+    bags = bags.where(F.col("rec").isNotNull() & (F.size("terms") > 0))
+    sizes = bags.groupBy("rec").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("all"))
+    many = sizes.crossJoin(F.broadcast(total)).where((F.col("n") > 1000) & (F.col("n") * 1000 > F.col("all"))).select("rec")
+    many = materialize(many)
+    none = not many.count()
+    light = bags if none else bags.join(F.broadcast(many), "rec", "left_anti")
+    schema = f"prefix string, {SQL_ENTRIES}"
+    placed = light.withColumn("n", F.lit(1)).repartition("rec").sortWithinPartitions("rec")
+    counted = placed.mapInArrow(_count(capacity), schema)
+    heavy_records = 0
+    if not none:
+        rows = bags.join(F.broadcast(many), "rec").select("rec", F.explode("terms").alias("term"))
+        pairs = materialize(rows.groupBy("term", "rec").agg(F.count("*").alias("n")))
+        heavy_records = pairs.select("rec").distinct().count()
+        counted = counted.unionByName(pairs.select("term", "n").mapInArrow(_count_new(capacity), schema))
+    counted = materialize(counted)
+    held = counted.where("prefix is null").agg(F.sum(F.get("records", F.lit(0)))).first()[0] or 0
+    return counted.where("prefix is not null"), held + heavy_records
+
+
+def term_frequencies(bags: DataFrame, record: str, terms: str, capacity: int = CAPACITY, entries: int = ROUTE_ENTRIES) -> DataFrame:
     """(term, occurrences, records): how often every distinct term occurs, and in how many records.
 
     ``terms`` is an array column. Terms are read in lower case without outer white space; null and
@@ -193,21 +313,18 @@ def term_frequencies(bags: DataFrame, record: str, terms: str, capacity: int = C
     all its rows, rows with a null record form no record. Every stored row counts for ``occurrences``, resent
     ones too; ``records`` counts each record once. Other columns are ignored. An empty table gives no rows.
     """
-    rows = bags.select(F.col(f"`{record}`").alias("rec"), F.explode(F.col(f"`{terms}`")).alias("term"))
-    rows = rows.where(F.col("rec").isNotNull()).select("rec", F.regexp_replace(F.lower("term"), r"^\s+|\s+$", "").alias("term"))
-    pairs = materialize(rows.where(F.col("term") != "").groupBy("term", "rec").agg(F.count("*").alias("n")))
-    routes = routing_prefixes(pairs.select("term"), parts)
-    subtrees = pairs.select("term", "n").mapInArrow(_count(routes, capacity), SQL_OUT)
-    placed = subtrees.repartition("route").sortWithinPartitions("route")
+    return _merged(worker_containers(bags, record, terms, capacity)[0], capacity, entries)
+
+
+def _merged(containers: DataFrame, capacity: int, entries: int) -> DataFrame:
+    placed = routed(containers, entries).repartition("route").sortWithinPartitions("route")
     return placed.mapInArrow(_merge(capacity), "term string, occurrences long, records long")
 
 
-def marked_frequencies(bags: DataFrame, record: str, terms: str, rare: int = 2, common: float = 0.2) -> DataFrame:
+def marked_frequencies(bags: DataFrame, record: str, terms: str, rare: int = 2, common: float = 0.2, entries: int = ROUTE_ENTRIES) -> DataFrame:
     """:func:`term_frequencies` with ``mark``: ``rare`` in at most ``rare`` records, ``common`` in more than the
-    share ``common`` of the records that have any term, else null. The number of records is one row and is broadcast.
+    share ``common`` of the records that have any term, else null.
     """
-    counts = term_frequencies(bags, record, terms)
-    held = F.exists(F.col(f"`{terms}`"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "") != "")
-    total = bags.where(held).agg(F.count_distinct(F.col(f"`{record}`")).alias("total"))
-    mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > F.col("total") * common, "common")
-    return counts.crossJoin(F.broadcast(total)).select("term", "occurrences", "records", mark.alias("mark"))
+    containers, total = worker_containers(bags, record, terms)
+    mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > total * common, "common")
+    return _merged(containers, CAPACITY, entries).select("term", "occurrences", "records", mark.alias("mark"))

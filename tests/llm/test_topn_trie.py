@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pairloom.llm import topn, trie
+from pyspark.sql import functions as F
 
 
 def brute_top(rows, n):
@@ -85,15 +86,16 @@ def brute_terms(data):
     return {t: (occurrences[t], len(records[t])) for t in occurrences}
 
 
-@pytest.mark.parametrize("parts", [2, 64])
-def test_term_frequencies(spark, parts, monkeypatch):
+@pytest.mark.parametrize("entries", [20, 100_000])
+def test_term_frequencies(spark, entries, monkeypatch):
     monkeypatch.setattr(trie, "TRIE_TERMS", 50)
+    monkeypatch.setattr(trie, "SLICE", 100)
     r = random.Random(5)
     words = ["the"] * 300 + ["".join(r.choice("abcé") for _ in range(r.randrange(1, 9))) for _ in range(500)]
     data = [(r.randrange(60), [r.choice(words) for _ in range(r.randrange(12))]) for _ in range(400)]
-    data += [(1, None), (2, []), (3, [None, "", "  ", " The ", "THE"]), (None, ["lost"]), (4, ["x" * 40_000, "\U0001f600"]), (4, ["x" * 40_000])] + [(7, ["dup", "dup"])] * 20
+    data += [(1, None), (2, []), (3, [None, "", "  ", " The ", "THE"]), (None, ["lost"]), (4, ["x" * 40_000, "\U0001f600"]), (4, ["x" * 40_000])] + [(7, ["dup", "dup"])] * (20 if entries > 20 else 1200)  # a record with most of the rows
     df = spark.createDataFrame([(*x, "c") for x in data], "_id long, tok array<string>, term string").repartition(5)
-    got = trie.term_frequencies(df, "_id", "tok", capacity=8, parts=parts).collect()
+    got = trie.term_frequencies(df, "_id", "tok", capacity=8, entries=entries).collect()
     assert {x["term"]: (x["occurrences"], x["records"]) for x in got} == brute_terms(data) and len(got) == len(brute_terms(data))
 
 
@@ -104,7 +106,14 @@ def test_marks(spark):
     assert trie.marked_frequencies(spark.createDataFrame([], "_id long, tok array<string>"), "_id", "tok").collect() == []
 
 
-def test_routing_prefixes_part_only_where_heavy(spark):
-    terms = spark.createDataFrame([(f"aa{i:04d}",) for i in range(900)] + [(f"b{i:04d}",) for i in range(50)], "term string")
-    routes = trie.routing_prefixes(terms, 4)
-    assert {"", "a", "aa"} <= routes and "b" not in routes
+def test_no_route_outgrows_its_bound(spark):
+    stem = "an unusually long st"
+    data = [(i, [f"{stem}{i * 100 + k:07d}" for k in range(100)] + ["b", f"c{i}"]) for i in range(1000)]
+    bags = spark.createDataFrame(data, "_id long, tok array<string>").repartition(4)
+    containers, records = trie.worker_containers(bags, "_id", "tok")
+    assert records == 1000
+    placed = trie.routed(containers, 5000)
+    sizes = [r["n"] for r in placed.groupBy("route").agg(F.sum(F.size("tails")).alias("n")).collect()]
+    assert max(sizes) <= 5500 and sum(sizes) >= 100_000 and len(sizes) >= 20
+    got = trie.term_frequencies(bags, "_id", "tok", entries=5000)
+    assert got.count() == 101_001 and {tuple(r) for r in got.where("length(term) < 3").collect()} >= {("b", 1000, 1000), ("c1", 1, 1)}
