@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.packing import with_shards
 from pairloom.llm.tokens import VOCABULARY, encoder
 from pairloom.sources.scratch import materialize
 
@@ -110,6 +111,20 @@ def fit_classifier(documents: DataFrame, sources: list[str], doc_id: str, text:
     return train(np.array([r["label"] for r in rows], np.int64), [np.frombuffer(r["tokens"], np.int32) for r in rows], len(sources), encoder(vocabulary).n_vocab, counts)
 
 
+#: Memberships are whole multiples of one part in so many, so each is off by less than that and documents alike share a rate.
+PARTS = 64
+#: Steps of the gradient after which the rates are written.
+WRITE_EVERY = 10
+
+
+def quantised(posterior: np.ndarray) -> np.ndarray:
+    """The posterior in multiples of 1 / :data:`PARTS` that sum to 1; what is cut off goes where most was cut, first to the first."""
+    whole = np.floor(posterior * PARTS + 1e-9)
+    order = np.lexsort((np.arange(len(posterior)), -np.round(posterior * PARTS - whole, 9)))
+    whole[order[: max(0, round(PARTS - whole.sum()))]] += 1
+    return whole / PARTS
+
+
 def _measured(model: Classifier, vocabulary: str):
     sources = model.tokens.shape[1]
 
@@ -122,7 +137,7 @@ def _measured(model: Classifier, vocabulary: str):
                 ids = encode(t.as_py() or "", disallowed_special=())
                 counts.append(len(ids))
                 if label is None:
-                    shares.append(np.round(model.posterior(ids), 6).tolist())
+                    shares.append(quantised(model.posterior(ids)).tolist())
                 else:
                     shares.append([1.0 if i == label else 0.0 for i in range(sources)])
             yield pa.record_batch([batch.column("id"), batch.column("label"), pa.array(counts, pa.int64()), pa.array(shares, pa.list_(pa.float64()))], names=["id", "label", "n_tokens", "member"])
@@ -136,21 +151,24 @@ def fit_rates(groups: DataFrame, targets: np.ndarray, caps: np.ndarray, total: f
     ``groups`` has the distinct memberships (member) with their tokens: documents that belong alike
     have the same rate. A rate starts at 0 and is moved by the dot product of a step with the membership,
     then kept between 0 and its cap. A step is the error of each source over its tokens, which is the
-    gradient in the metric of the documents' sizes.
+    gradient in the metric of the documents' sizes. Rates are a column that is written every few steps, so
+    the work of a step stays the same.
     """
     n = len(targets)
-    dot = lambda g: F.aggregate(F.zip_with("member", F.array(*[F.lit(float(x)) for x in g]), lambda m, x: m * x), F.lit(0.0), lambda a, x: a + x)
     cap = dot(caps)
     sums = lambda rate: [F.sum(F.col("tokens") * F.get("member", F.lit(i)) * rate) for i in range(n)]
-    held = np.array([x or 0.0 for x in groups.agg(*sums(F.lit(1.0))).first()], float)
+    held = np.array([x or 0.0 for x in groups.agg(*sums(F.lit(1.0))).first()], float) if n else np.zeros(0)
     open_ = (held > 0) & (targets > 0)
     if total is None:
         total = float(min((caps[i] * held[i] / targets[i] for i in np.flatnonzero(open_)), default=0.0))
     taken: list[list[float]] = []
     last = np.full(n, np.inf)
-    for _ in range(steps):
-        rate = rate_of(taken, cap)
-        got = np.array([x or 0.0 for x in groups.agg(*sums(rate)).first()], float)
+    rated = groups.withColumn("rate", F.lit(0.0))
+    for _ in range(steps if n else 0):
+        fresh = taken[len(taken) // WRITE_EVERY * WRITE_EVERY :]
+        if taken and not fresh:
+            rated = materialize(rated.withColumn("rate", rate_of(taken[-WRITE_EVERY:], cap, F.col("rate"))))
+        got = np.array([x or 0.0 for x in rated.agg(*sums(rate_of(fresh, cap, F.col("rate")))).first()], float)
         error = np.where(open_, targets * total - got, -got)
         step = np.divide(error, held, out=np.zeros(n), where=held > 0)
         # Done when all targets are met, or when those that are not cannot be: nothing moves any more.
@@ -161,13 +179,20 @@ def fit_rates(groups: DataFrame, targets: np.ndarray, caps: np.ndarray, total: f
     return taken, total
 
 
-def rate_of(taken: list[list[float]], cap: Column) -> Column:
-    """The rate of a row with ``member`` after the given steps."""
+def dot(values: np.ndarray) -> Column:
+    """The dot product of the membership with ``values``."""
+    held = F.array(*[F.lit(float(x)) for x in values]).cast("array<double>")
+    return F.aggregate(F.zip_with("member", held, lambda m, x: m * x), F.lit(0.0), lambda a, x: a + x)
+
+
+def rate_of(taken: list[list[float]], cap: Column, start: Column | None = None) -> Column:
+    """The rate of a row with ``member`` after the given steps from ``start`` (0)."""
+    start = F.lit(0.0) if start is None else start
     if not taken:
-        return F.lit(0.0)
+        return start
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in taken])
     move = lambda g: F.aggregate(F.zip_with("member", g, lambda m, x: m * x), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(steps, F.lit(0.0), lambda r, g: F.greatest(F.lit(0.0), F.least(cap, r + move(g))))
+    return F.aggregate(steps, start, lambda r, g: F.greatest(F.lit(0.0), F.least(cap, r + move(g))))
 
 
 def whole_repeats(sizes: np.ndarray, rates: np.ndarray) -> np.ndarray:
@@ -210,11 +235,10 @@ def mix(documents: DataFrame, doc_id: str, text: str, source: str, targets: Data
     groups = materialize(known.groupBy("member").agg(F.sum("n_tokens").alias("tokens")))
     taken, _ = fit_rates(groups, shares, caps, total_tokens)
     likeliest = F.coalesce("label", (F.array_position("member", F.array_max("member")) - 1).cast("int"))
-    dot_caps = F.aggregate(F.zip_with("member", F.array(*[F.lit(x) for x in caps.tolist()]), lambda m, x: m * x), F.lit(0.0), lambda a, x: a + x)
-    rated = known.select("id", "label", "n_tokens", likeliest.alias("at"), rate_of(taken, dot_caps).alias("rate")).where("rate > 0")
+    rated = known.select("id", "label", "n_tokens", likeliest.alias("at"), rate_of(taken, dot(caps)).alias("rate")).where("rate > 0")
     most = F.get(F.array(*[F.lit(x) for x in caps.tolist()]), F.col("at"))
     shards = max(1, math.ceil(known.count() / shard_docs))
-    rated = rated.withColumn("rate", F.least("rate", most)).withColumn("shard", F.pmod(F.xxhash64("id", F.monotonically_increasing_id() % 1024), F.lit(shards)))
+    rated = with_shards(rated.withColumn("rate", F.least("rate", most)), shards)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n_tokens", "id"], kind="stable", ignore_index=True)

@@ -107,19 +107,29 @@ def pack_shard(sizes: np.ndarray, capacity: int) -> Iterator[tuple[int, int, int
         container += 1
 
 
+def with_shards(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` with a ``shard`` that depends on what the rows hold and not on how they are stored.
+
+    Equal rows are counted and numbered, so that they do not gather in one shard.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    first = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(10_000).cast("long"))))
+    each = first.withColumn("_copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + 9_999, F.col("_n") - 1))))
+    return each.select(*rows.columns, F.pmod(F.xxhash64(*rows.columns, "_copy"), F.lit(shards)).cast("int").alias("shard"))
+
+
 def pack(sizes: DataFrame, item: str, size: str, packs: DataFrame, pack_name: str, capacity: str, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(pack, container, item, piece, tokens): the container of each item, or of each of its pieces, for every capacity.
 
     Only items larger than a capacity are cut. Items are packed in shards of about ``shard_items``
-    rows, by a hash of their id and place, so repeated ids do not gather in one shard; a container
+    rows, by a hash of their id, size and number among equal ones, so the containers do not depend on how the table is stored; a container
     belongs to one shard, and each shard leaves at most one container barely filled. An item of size 0,
     null or less takes no room and has a null container. ``packs`` is a fixed list and is broadcast;
     rows of it with a null or non-positive capacity are left out. Empty tables give no rows.
     """
     rows = sizes.select(F.col(f"`{item}`").alias("item"), F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)).alias("size"))
     shards = max(1, math.ceil(sizes.count() / shard_items))
-    place = F.monotonically_increasing_id() % 1024
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("item", place), F.lit(shards)).cast("int"))
+    rows = with_shards(rows, shards)
     kinds = packs.select(F.col(f"`{pack_name}`").alias("pack"), F.col(f"`{capacity}`").cast("long").alias("capacity")).where("capacity > 0")
     n_kinds = kinds.limit(1001).count()
     if n_kinds > 1000:

@@ -85,6 +85,34 @@ def p6_fill(spark, folder):
     return packing.fill_summary(p6_packed(spark, folder), table(spark, folder, "pack_sizes"), "pack", "capacity")
 
 
+def p6_kept(spark, folder):
+    """What must hold of the containers of each capacity: all documents are there, none is overfull, only longer texts are cut."""
+    packed = p6_packed(spark, folder)
+    kinds = F.broadcast(table(spark, folder, "pack_sizes").select("pack", F.col("capacity").cast("long").alias("capacity")))
+    fills = packed.where("container is not null").groupBy("pack", "container").agg(F.sum("tokens").alias("fill")).join(kinds, "pack")
+    over = fills.groupBy("pack").agg(F.count_if(F.col("fill") > F.col("capacity")).alias("overfull"))
+    documents = packed.groupBy("pack", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens")).join(kinds, "pack")
+    needed = F.greatest(F.ceil(F.col("tokens") / F.col("capacity")), F.lit(1))
+    cut = documents.groupBy("pack", "capacity").agg(F.count("*").alias("documents"), F.count_if(F.col("pieces") != needed).alias("cut_without_need"))
+    return cut.join(over, "pack").select("pack", "capacity", "documents", "overfull", "cut_without_need")
+
+
+def p7_kept(spark, folder):
+    """What must hold of the mix: no document is used too often or under another source than its own, and the shares sum to 1."""
+    documents, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
+    chosen, shares = mixing.mix(documents, "doc_id", "text", "source", targets)
+    name = mixing.source_name(F.col("source"))
+    caps = F.broadcast(targets.select(name.alias("source"), "max_repeats"))
+    own = documents.select("doc_id", name.alias("own"))
+    used = chosen.join(own, "doc_id").join(caps, "source", "left").groupBy("source").agg(
+        F.count_if(F.coalesce(F.col("repeats") > F.col("max_repeats"), F.lit(True))).alias("too_often"),
+        F.count_if(F.col("own").isNotNull() & (F.col("own") != F.col("source"))).alias("not_of_source"),
+    )
+    whole = shares.agg(F.round(F.sum("share"), 6).alias("all_shares"))
+    held = shares.select("source", "target_share").join(used, "source", "left").crossJoin(F.broadcast(whole))
+    return held.select("source", "target_share", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("too_often", "not_of_source")], "all_shares")
+
+
 def p7_mixed(spark, folder):
     """The chosen documents with their repeats, with the target and the reached share of their source."""
     chosen, shares = mixing.mix(table(spark, folder, "documents"), "doc_id", "text", "source", table(spark, folder, "mix_targets"))
@@ -152,8 +180,10 @@ QUERIES = {
     "p5_links": p5_links,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
+    "p6_kept": p6_kept,
     "p7_mixed": p7_mixed,
     "p7_shares": p7_shares,
+    "p7_kept": p7_kept,
     "p8_found": p8_found,
     "p8_statistics": p8_statistics,
 }
@@ -169,6 +199,8 @@ union all select 'authors', a, b from {_alike('a_sets', 'b_sets')}""",
     "p5_links": LISTS
     + f", links as {_alike('lists')}, ends as (select a as r from links union all select b from links), counts as (select r, count(*) as n from ends group by 1)"
     + "select id2 as key, coalesce(n, 0) as n_links from held join lists using (s) left join counts using (r)",
+    "p6_kept": "select pack, capacity::bigint as capacity, (select count(*) from documents) as documents, 0::bigint as overfull, 0::bigint as cut_without_need from pack_sizes",
+    "p7_kept": r"select regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g') as source, target_share, 0::bigint as too_often, 0::bigint as not_of_source, 1.0::double as all_shares from mix_targets",
     "p4_found": TERMS + "select tok, mark from marked where mark is not null",
     "p4_frequencies": TERMS + "select tok, occurrences, records, mark from marked",
 }

@@ -110,6 +110,60 @@ def test_mix_reaches_its_shares(spark):
     assert unlabelled and sum(r["source"] == truth[r["doc_id"]] for r in unlabelled) > 0.9 * len(unlabelled)
 
 
+def test_results_do_not_depend_on_the_layout(spark):
+    r = random.Random(21)
+    sizes = spark.createDataFrame([(i // 2, r.randrange(1, 90)) for i in range(300)] + [(7, 40)] * 200, "doc long, n long")
+    packs = spark.createDataFrame([("p", 100)], "p string, c int")
+    fill = lambda parts: sorted(map(tuple, packing.pack(sizes.repartition(parts), "doc", "n", packs, "p", "c", 100).groupBy("container").agg(F.sort_array(F.collect_list(F.struct("doc", "tokens"))).alias("x")).select("container", F.col("x").cast("string")).collect()))
+    assert fill(2) == fill(7)
+    docs = spark.createDataFrame([(*d, 1.0) for d in mix_documents(random.Random(2))], "doc_id long, text string, source string, truth string, rate double")
+    targets = spark.createDataFrame([("north", 0.6, 1), ("south", 0.4, 3)], "source string, target_share double, max_repeats int")
+    mixed = lambda parts: sorted(map(tuple, mixing.mix(docs.repartition(parts), "doc_id", "text", "source", targets, shard_docs=100)[0].collect()))
+    assert mixed(2) == mixed(7) != []
+
+
+def test_equal_rows_are_spread_over_shards(spark):
+    rows = spark.createDataFrame([(1, 5)] * 25_000 + [(2, 6)] * 10, "item long, size long")
+    sizes = {r["shard"]: r["count"] for r in packing.with_shards(rows, 5).groupBy("shard").count().collect()}
+    assert sum(sizes.values()) == 25_010 and max(sizes.values()) < 5600
+
+
+def test_memberships_are_near_the_posterior():
+    r = np.random.default_rng(4)
+    for p in [*r.dirichlet(np.ones(7), 50), np.array([1.0]), np.array([0.5, 0.5]), np.array([1 / 3, 1 / 3, 1 / 3])]:
+        q = mixing.quantised(p)
+        assert q.sum() == 1.0 and np.abs(q - p).max() < 1 / mixing.PARTS and (q >= 0).all()
+
+
+def test_written_rates_are_those_of_all_steps(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [(mixing.quantised(p).tolist(), int(n)) for p, n in zip(r.dirichlet(np.ones(3) * 0.4, 40), r.integers(50, 500, 40), strict=True)]
+    groups = spark.createDataFrame(rows, "member array<double>, tokens long")
+    targets, caps = np.array([0.5, 0.3, 0.2]), np.array([2.0, 1.0, 3.0])
+    taken, total = mixing.fit_rates(groups, targets, caps, None)
+    m, n = np.array([x[0] for x in rows]), np.array([x[1] for x in rows])
+    rate = np.zeros(len(rows))
+    for step in taken:
+        rate = np.clip(rate + m @ np.array(step), 0.0, m @ caps)
+    got = [x[0] for x in groups.select(mixing.rate_of(taken, mixing.dot(caps))).collect()]
+    assert np.allclose(got, rate) and len(taken) > mixing.WRITE_EVERY
+    reached = (m * (n * rate)[:, None]).sum(0)
+    assert np.abs(reached / reached.sum() - targets).max() < 0.1
+
+
+def test_masked_labels_are_regained_and_the_prior_is_beaten():
+    docs = [d for d in mix_documents(random.Random(8)) if d[1]]
+    encode = tokens.encoder(tokens.VOCABULARY).encode_to_numpy
+    names = sorted({d[3] for d in docs})
+    ids, truth = [encode(d[1]) for d in docs], np.array([names.index(d[3]) for d in docs])
+    half = len(docs) // 2
+    model = mixing.train(truth[:half], ids[:half], len(names), tokens.encoder(tokens.VOCABULARY).n_vocab)
+    posterior = np.array([model.posterior(x) for x in ids[half:]])
+    loss = lambda p: float(-np.log(np.maximum(p[np.arange(len(p)), truth[half:]], 1e-12)).mean())
+    prior = np.exp(model.prior)[None].repeat(len(posterior), 0)
+    assert model.sharpness > 0 and loss(posterior) < 0.5 * loss(prior) and (posterior.argmax(1) == truth[half:]).mean() > 0.9
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
