@@ -1,9 +1,10 @@
 """Text statistics per document, and the shares of prose, list, table and junk by a hidden Markov model.
 
 A document is a sequence of lines. The hidden state of a line is its kind; what is seen are the
-discrete features of :mod:`pairloom.llm.lines`. Emissions start from lines that a few strict rules
-can name; emissions and transitions are then trained on a bounded sample of documents by Viterbi
-training. The most likely states of all lines of every document give the shares.
+discrete features of :mod:`pairloom.llm.lines`. Training starts from lines of a bounded sample that a
+few strict rules can name; emissions and transitions are then trained by Viterbi training. Decoding
+knows no rules: the most likely states of all lines of every document give the shares. Captions and
+page headers go with the prose around them as the model's transitions have it.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ PROSE, LIST, TABLE, JUNK = range(4)
 PLAIN, TERSE, ITEMS, FIELDS, ENTRIES, CELLS, NUMBERS, SALAD, NOISE, PAGE = range(10)
 KIND_OF = np.array([PROSE, PROSE, LIST, LIST, LIST, TABLE, TABLE, JUNK, JUNK, JUNK], np.int8)
 STATES = len(KIND_OF)
+FLUENCY = L.FEATURES.index("fluency")
 #: Bytes of text that are measured at once.
 SLICE = 3_000_000
 #: Features of a line depend on each other; their joint weight is lowered by this factor.
-TEMPER = 0.5
-#: How often a line that the rules can name is of the state they name.
-HINT = 0.95
+TEMPER = 0.3
+#: How words follow each other does not depend on the other features: where it is known, its weight is so many times theirs.
+FLUENCY_SAY = 3.0
 
 
 @dataclass(frozen=True)
@@ -46,12 +48,9 @@ class LineModel:
         out = np.zeros((len(codes), STATES))
         for i, table in enumerate(self.emission):
             out += table[codes[:, i]]
-        out *= TEMPER
-        # What the rules say of a line is one more thing seen: right with probability HINT.
-        plain = seeds(codes)
-        told = np.flatnonzero(plain >= 0)
-        out[told, plain[told]] += np.log(HINT * (STATES - 1) / (1 - HINT))
-        return out
+        fluency = codes[:, FLUENCY]
+        out += np.where(fluency > 0, FLUENCY_SAY - 1.0, 0.0)[:, None] * self.emission[FLUENCY][fluency]
+        return out * TEMPER
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -142,25 +141,6 @@ def train(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, known: L.W
     return model
 
 
-def with_captions(kind: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """``kind`` with captions and page headers counted as prose: up to four lines before the first prose, single lines next to prose."""
-    if not len(kind):
-        return kind
-    other = kind != PROSE
-    fresh = np.ones(len(kind), bool)
-    fresh[1:] = (other[1:] != other[:-1]) | (doc[1:] != doc[:-1])
-    begin = np.flatnonzero(fresh)
-    size = np.diff(np.append(begin, len(kind)))
-    leads = np.ones(len(begin), bool)
-    leads[1:] = doc[begin[1:]] != doc[begin[1:] - 1]
-    closes = np.ones(len(begin), bool)
-    closes[:-1] = leads[1:]
-    small = other[begin] & ((size == 1) & ~(leads & closes) | (size <= 4) & leads & ~closes)
-    out = kind.copy()
-    out[np.repeat(small, size)] = PROSE
-    return out
-
-
 def _runs(doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.bincount(doc, minlength=docs)
     return np.cumsum(lengths) - lengths, lengths
@@ -184,42 +164,44 @@ STATS = pa.schema(
 )
 
 
-def _statistics(model: LineModel):
+def _statistics(known: L.Words, model: LineModel | None):
+    """Rows of :data:`STATS`, without shares of kinds if there is no model."""
+    kinds = KINDS if model else ()
+    schema = pa.schema(list(STATS)[: len(STATS) - len(KINDS) + len(kinds)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in _slices(batch.column("text")):
                 docs = j - i
-                lines = L.measure(data, offsets, model.known)
-                codes = L.codes(lines, model.fluency)
+                lines = L.measure(data, offsets, known)
                 starts, lengths = _runs(lines.doc, docs)
-                kind = with_captions(KIND_OF[viterbi(model.scores(codes), starts, lengths, model.transition, model.start)], lines.doc)
+                if model:
+                    scores = model.scores(L.codes(lines, model.fluency))
+                    kind = KIND_OF[viterbi(scores, starts, lengths, model.transition, model.start)]
                 total = lambda x: np.bincount(lines.doc, weights=x, minlength=docs)  # noqa: E731, B023
-                chars, words, letters = total(lines.chars), total(lines.words), total(lines.letters)
                 c = lines.counts
-                letters_and_digits = total(lines.letters + c[:, L.DIGIT])
+                letters = total(c[:, L.LOWER] + c[:, L.UPPER] + c[:, L.LETTER2])  # each letter has one such byte
+                chars, words = total(lines.chars), total(lines.words)
+                letters_and_digits = letters + total(c[:, L.DIGIT])
                 ends = (lines.last & 255 == L.STOP) | (lines.last >> 8 == ord(":")) | (lines.last >> 8 == ord(";"))
                 one = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 0.0)
-                shares = [one(total(np.where(kind == k, lines.chars, 0)), chars) for k in range(len(KINDS))]
+                shares = [one(total(np.where(kind == k, lines.chars, 0)), chars) for k in range(len(kinds))]
                 columns = [batch.column("id").slice(i, docs), chars.astype(np.int64), words.astype(np.int64), lengths]
                 columns += [one(letters, words), np.clip(one(chars - letters_and_digits, chars), 0.0, 1.0), one(total(ends), lengths), one(total(lines.common), words), *shares]
-                yield pa.record_batch([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], schema=STATS)
+                yield pa.record_batch([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], schema=schema)
 
     return run
 
 
-SAMPLE = "number long, codes binary, pairs binary, fluency binary"
-
-
 def _pair_counts(known: L.Words):
-    n = len(known) + 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(n * n, np.int64)
+        at, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for _, _, data, offsets in _slices(batch.column("text")):
-                counts += np.bincount(L.measure(data, offsets, known).pairs, minlength=n * n)
-        at = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(at), pa.array(counts[at])], names=["pair", "n"])
+                pairs, n = np.unique(L.measure(data, offsets, known).pairs, return_counts=True)
+                at, where = np.unique(np.concatenate([at, pairs]), return_inverse=True)
+                counts = np.bincount(where, weights=np.concatenate([counts, n]), minlength=len(at)).astype(np.int64)
+        yield pa.record_batch([pa.array(at), pa.array(counts)], names=["pair", "n"])
 
     return run
 
@@ -266,17 +248,31 @@ def text_statistics(documents: DataFrame, doc_id: str, text: str, words: DataFra
     (doc id, n_chars, n_words, n_lines, mean_word_length, symbol_ratio, punct_line_share,
     common_word_share, prose_share, list_share, table_share, junk_share, is_prose). Characters are
     those that are not white space, lines those that are not blank. Words are runs of letters.
-    Common words are those of any language in ``words``, a fixed list of at most 10,000.
+    Common words are those of any language in ``words``, a fixed list of at most 4,000.
     ``is_prose`` is false if more than half of the characters are not in prose lines. A null or
     blank text has zeros and a null ``is_prose``. Repeated documents each have their row; other
     columns are ignored. Texts are processed whole.
     """
-    rows = words.select(F.lower(F.col(f"`{word}`")).alias("w")).where("w is not null").distinct().limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 common words")
-    model = fit(documents, doc_id, text, [r["w"] for r in rows], sample)
+    known = _word_list(words, word)
+    model = fit(documents, doc_id, text, known, sample)
     held = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    schema = "id long, n_chars long, n_words long, n_lines long, mean_word_length double, symbol_ratio double, punct_line_share double, common_word_share double, " + ", ".join(f"{k}_share double" for k in KINDS)
-    stats = held.mapInArrow(_statistics(model), schema)
+    stats = held.mapInArrow(_statistics(model.known, model), PLAIN_SCHEMA + ", " + ", ".join(f"{k}_share double" for k in KINDS))
     not_prose = F.col("list_share") + F.col("table_share") + F.col("junk_share") > 0.5
     return stats.withColumn("is_prose", F.when(F.col("n_chars") > 0, ~not_prose)).withColumnRenamed("id", doc_id)
+
+
+PLAIN_SCHEMA = "id long, n_chars long, n_words long, n_lines long, mean_word_length double, symbol_ratio double, punct_line_share double, common_word_share double"
+
+
+def plain_statistics(documents: DataFrame, doc_id: str, text: str, words: DataFrame, word: str = "word") -> DataFrame:
+    """The statistics of :func:`text_statistics` that need no model; nothing is trained."""
+    known = L.Words.of(_word_list(words, word))
+    held = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    return held.mapInArrow(_statistics(known, None), PLAIN_SCHEMA).withColumnRenamed("id", doc_id)
+
+
+def _word_list(words: DataFrame, word: str) -> list[str]:
+    rows = words.select(F.lower(F.col(f"`{word}`")).alias("w")).where("w is not null").distinct().limit(4_001).collect()
+    if len(rows) > 4_000:
+        raise ValueError("more than 4,000 common words")
+    return [r["w"] for r in rows]

@@ -134,6 +134,12 @@ def p8_statistics(spark, folder):
     return quality.text_statistics(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words"))
 
 
+def p8_plain(spark, folder):
+    """The statistics of every document that need no model."""
+    stats = quality.plain_statistics(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words"))
+    return stats.select("doc_id", "n_chars", "n_words", "n_lines", *[F.round(c, 9).alias(c) for c in ("mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share")])
+
+
 TOP_ITEMS = """
 with items as (
   select id2, unnest(id1_list) as id1, unnest(list_resize(coalesce(scores, []::float[]), len(id1_list))) as score from predicate_out
@@ -186,6 +192,7 @@ QUERIES = {
     "p7_kept": p7_kept,
     "p8_found": p8_found,
     "p8_statistics": p8_statistics,
+    "p8_plain": p8_plain,
 }
 
 SQL = {
@@ -201,6 +208,14 @@ union all select 'authors', a, b from {_alike('a_sets', 'b_sets')}""",
     + "select id2 as key, coalesce(n, 0) as n_links from held join lists using (s) left join counts using (r)",
     "p6_kept": "select pack, capacity::bigint as capacity, (select count(*) from documents) as documents, 0::bigint as overfull, 0::bigint as cut_without_need from pack_sizes",
     "p7_kept": r"select regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g') as source, target_share, 0::bigint as too_often, 0::bigint as not_of_source, 1.0::double as all_shares from mix_targets",
+    "p8_plain": r"""with d as (select doc_id, coalesce(text, '') as t from documents),
+c as (select list(distinct lower(word)) as common from common_words where word is not null),
+m as (select doc_id, length(regexp_replace(t, '[ \t\r\n\x0b\x0c]', '', 'g')) as chars, regexp_extract_all(t, '[A-Za-zÀ-ӿ]+') as words, length(regexp_replace(t, '[^0-9]', '', 'g')) as digits,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\r\x0b\x0c]')) as lines from d),
+n as (select *, len(words) as n_words, len(lines) as n_lines, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as letters,
+  len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;][ \t\r\x0b\x0c]*$'))) as ends, len(list_filter(words, lambda x: list_contains(common, lower(x)))) as n_common from m, c)
+select doc_id, chars as n_chars, n_words, n_lines, round(coalesce(letters / nullif(n_words, 0), 0), 9) as mean_word_length, round(coalesce((chars - letters - digits) / nullif(chars, 0), 0), 9) as symbol_ratio,
+  round(coalesce(ends / nullif(n_lines, 0), 0), 9) as punct_line_share, round(coalesce(n_common / nullif(n_words, 0), 0), 9) as common_word_share from n""",
     "p4_found": TERMS + "select tok, mark from marked where mark is not null",
     "p4_frequencies": TERMS + "select tok, occurrences, records, mark from marked",
 }

@@ -277,6 +277,13 @@ def test_word_pairs_are_counted_in_all_documents(spark):
     assert np.allclose(whole.fluency, sampled.fluency)
 
 
+def test_decoding_knows_no_rules(monkeypatch):
+    codes = np.zeros((4, len(lines.FEATURES)), np.uint8)
+    model = quality.train(codes, np.array([0]), np.array([4]), lines.Words.of([]), np.zeros(1))
+    monkeypatch.setattr(quality, "seeds", None)  # calling it would fail
+    assert model.scores(codes).shape == (4, quality.STATES)
+
+
 def test_text_statistics_of_nothing(spark):
     words = spark.createDataFrame([("the",)], "word string")
     assert quality.text_statistics(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", words).count() == 0
