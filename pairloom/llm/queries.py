@@ -25,10 +25,14 @@ def p1_top(spark, folder):
 
 def p3_matches(spark, folder):
     """Pairs of works with the confidence that they are the same."""
-    names = {r["name"]: r["short"] for r in table(spark, folder, "name_map").where("name is not null and short is not null").limit(100_000).collect()}
+    # A fixed list of short forms; of two for a name the first in the alphabet.
+    held = table(spark, folder, "name_map").where("name is not null and short is not null").groupBy("name").agg(F.min("short").alias("short")).limit(100_001).collect()
+    if len(held) > 100_000:
+        raise ValueError("more than 100,000 names")
+    names = {r["name"]: r["short"] for r in held}
     compared = table(spark, folder, "bootleg_sim").where("not invert").select("index_col", "search_col").distinct().orderBy("index_col", "search_col").collect()
-    people = [matching.TextField(f"names{i}", r["index_col"], r["search_col"], 128, 0.6, names, near_number=True) for i, r in enumerate(compared)]
-    fields = (matching.TextField("title", "title", "title", 256), matching.TextField("description", "description", "description", 192, 0.6), *people)
+    people = [matching.TextField(f"names{i}", r["index_col"], r["search_col"], 128, 0.8, names, near_number=True, chunks=5) for i, r in enumerate(compared)]
+    fields = (matching.TextField("title", "title", "title", 256, 0.7, chunks=10), matching.TextField("description", "description", "description", 192, 0.7, chunks=9), *people)
     return matching.match_records(table(spark, folder, "table_a"), table(spark, folder, "table_b"), "_id", fields, "year", "venue")
 
 
