@@ -53,8 +53,7 @@ def p4_frequencies(spark, folder):
 
 
 def _author_sets(spark, folder, name):
-    words = setjoin.name_words(F.col("authors"), table(spark, folder, "name_map"))
-    return table(spark, folder, name).select("_id", words.alias("words"))
+    return setjoin.name_sets(table(spark, folder, name), "_id", "authors", table(spark, folder, "name_map"))
 
 
 def _p5_lists(spark, folder):
@@ -73,9 +72,13 @@ def p5_found(spark, folder):
 
 
 def p5_links(spark, folder):
-    """Each search record with the class of its list and the number of other lists alike to it."""
-    links = setjoin.record_links(_p5_lists(spark, folder))
-    return links.select("key", "n_links")
+    """Each search record with the smallest record of the class of its list, and the number of other lists alike to it."""
+    return setjoin.record_links(_p5_lists(spark, folder)).select("key", "class_key", "n_links")
+
+
+def p5_author_links(spark, folder):
+    """Each record of A and B with the smallest record of the class of its author names, and the number of other classes of the other side alike to it."""
+    return setjoin.record_links(_p5_authors(spark, folder)).select("key", "class_key", "n_links")
 
 
 def p6_packed(spark, folder):
@@ -188,6 +191,7 @@ QUERIES = {
     "p4_frequencies": p4_frequencies,
     "p5_found": p5_found,
     "p5_links": p5_links,
+    "p5_author_links": p5_author_links,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
     "p6_kept": p6_kept,
@@ -209,7 +213,12 @@ SQL = {
 union all select 'authors', a, b from {_alike('a_sets', 'b_sets')}""",
     "p5_links": LISTS
     + f", links as {_alike('lists')}, ends as (select a as r from links union all select b from links), counts as (select r, count(*) as n from ends group by 1)"
-    + "select id2 as key, coalesce(n, 0) as n_links from held join lists using (s) left join counts using (r)",
+    + "select id2 as key, min(id2) over (partition by r) as class_key, coalesce(n, 0) as n_links from held join lists using (s) left join counts using (r)",
+    "p5_author_links": "with " + NAMES.format("a").strip() + "," + NAMES.format("b")
+    + f""", one as (select r, list_sort(s) as s, 1 as side from a_sets), two as (select r, list_sort(s) as s, 2 as side from b_sets), records as (select * from one union all select * from two),
+classes as (select row_number() over () as r, s, bool_or(side = 1) as a, bool_or(side = 2) as b from records group by s), a_classes as (select r, s from classes where a), b_classes as (select r, s from classes where b),
+links as (select distinct least(a, b) as a, greatest(a, b) as b from {_alike('a_classes', 'b_classes')} where a <> b), ends as (select a as r from links union all select b from links), counts as (select r, count(*) as n from ends group by 1)
+select records.r as key, min(records.r) over (partition by classes.r) as class_key, coalesce(n, 0) as n_links from records join classes using (s) left join counts on counts.r = classes.r""",
     "p6_kept": "select pack, capacity::bigint as capacity, (select count(*) from documents) as documents, 0::bigint as overfull, 0::bigint as cut_without_need from pack_sizes",
     "p7_kept": r"select regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g') as source, target_share, 0::bigint as too_often, 0::bigint as not_of_source, 1.0::double as all_shares from mix_targets",
     "p8_plain": r"""with d as (select doc_id, coalesce(text, '') as t from documents),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators import setsim
+from pairloom.operators.skew import lookup_skewed
 from pairloom.sources.scratch import materialize
 
 
@@ -25,14 +26,21 @@ class SimilarSets:
     members: DataFrame
 
 
-def _classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(side, sid, toks) of the distinct sets, side 3 if on both, and (side, key, sid). A set is known by two independent 64-bit hashes."""
-    hashed = records.select("side", "key", "toks", F.xxhash64("toks").alias("h1"), F.xxhash64(F.lit(1), "toks").alias("h2"))
-    hashed = materialize(hashed)
-    sets = hashed.groupBy("h1", "h2").agg(F.first("toks").alias("toks"), F.bit_or("side").alias("side"))
-    sets = materialize(sets.withColumn("sid", F.monotonically_increasing_id()))
-    members = hashed.select("side", "key", "h1", "h2").distinct().join(sets.select("h1", "h2", "sid"), ["h1", "h2"])
-    return sets.select("side", "sid", "toks"), materialize(members.select("side", "key", "sid"))
+def _classes(records: DataFrame, seeds: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(side, sid, toks) of the distinct sets, side 3 if on both, and (side, key, sid).
+
+    ``sid`` is a 64-bit hash of the set, so the members of a class need not be joined to it, however many they are.
+    A second hash tells whether two sets share one; then another seed is taken.
+    """
+    held = materialize(records)
+    for seed in range(seeds):
+        sid = F.xxhash64(F.lit(seed), "toks").alias("sid")
+        hashed = held.select("side", sid, "toks", F.xxhash64("toks", F.lit(seed)).alias("h"))
+        both = hashed.groupBy("sid").agg(F.first("toks").alias("toks"), F.bit_or("side").alias("side"), F.min("h").alias("h1"), F.max("h").alias("h2"))
+        sets = materialize(both)
+        if not sets.where("h1 <> h2").count():
+            return sets.select("side", "sid", "toks"), materialize(held.select("side", "key", sid).distinct())
+    raise RuntimeError("no hash without collisions")
 
 
 def similar_sets(left: DataFrame, right: DataFrame | None, key: str, values: str, threshold: float) -> SimilarSets:
@@ -86,22 +94,37 @@ def record_pairs(found: SimilarSets, two_tables: bool) -> DataFrame:
 
 
 def record_links(found: SimilarSets) -> DataFrame:
-    """(side, key, sid, n_links): one row per record with its class and the number of other classes alike to it."""
+    """(side, key, sid, class_key, n_links): one row per record with its class, the smallest key in it, and the number of other classes alike to it."""
     ends = found.links.select(F.explode(F.array("s1", "s2")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
-    return found.members.join(ends, "sid", "left").select("side", "key", "sid", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = found.members.groupBy("sid").agg(F.min("key").alias("class_key"), F.count("*").alias("n")).join(ends, "sid", "left")
+    rows = lookup_skewed(found.members, classes, "sid", "n", found.members.count())
+    return rows.select("side", "key", "sid", "class_key", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+#: Up to so many names are a literal map, more are joined.
+LITERAL_NAMES = 1000
 
 
-def name_words(authors, names: DataFrame):
-    """The runs of two or more letters a-z of a lower-cased column, each short where ``names`` (name, short) has a short form.
+def name_sets(records: DataFrame, key: str, authors: str, names: DataFrame, literal: int = LITERAL_NAMES) -> DataFrame:
+    """(key, words) of each record: the runs of two or more letters a-z of a lower-cased column, each short where ``names`` (name, short) has a short form.
 
-    ``names`` is a fixed list; it becomes a literal map, so it must stay small (at most 100,000 entries).
+    Of several short forms of a name the first in the alphabet counts. ``words`` is null where the column is, and is a set where
+    the names are joined.
     """
-    rows = names.where("name is not null").groupBy("name").agg(F.min("short").alias("short")).limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("more than 100,000 names: join them instead")
-    words = F.regexp_extract_all(F.lower(authors), F.lit("([a-z]{2,})"), 1)
-    if not rows:
-        return words
-    short = F.create_map(*[F.lit(x) for r in rows for x in (r["name"], r["short"])])
-    # The set of names is looked up by hash, the map by reading through it: most words are in neither.
-    return F.transform(words, lambda w: F.when(w.isin([r["name"] for r in rows]), F.coalesce(short[w], w)).otherwise(w))
+    short = names.where("name is not null and short is not null").groupBy("name").agg(F.min("short").alias("short"))
+    words = F.regexp_extract_all(F.lower(F.col(f"`{authors}`")), F.lit("([a-z]{2,})"), 1)
+    rows = records.select(F.col(f"`{key}`").alias(key), words.alias("words"))
+    few = short.limit(literal + 1).collect()
+    if not few:
+        return rows
+    if len(few) <= literal:
+        known = F.create_map(*[F.lit(x) for r in few for x in (r["name"], r["short"])])
+        # The set of names is looked up by hash, the map by reading through it: most words are in neither.
+        return rows.select(key, F.transform("words", lambda w: F.when(w.isin([r["name"] for r in few]), known[w]).otherwise(w)).alias("words"))
+    numbered = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
+    each = numbered.select("_row", F.explode("words").alias("name"))
+    weights = each.groupBy("name").agg(F.count("*").alias("n")).join(short, "name", "left")
+    found = lookup_skewed(each, weights, "name", "n", weights.agg(F.sum("n")).first()[0] or 1)
+    sets = found.groupBy("_row").agg(F.collect_set(F.coalesce("short", "name")).alias("_set"))
+    out = numbered.join(sets, "_row", "left")
+    return out.select(key, F.when(F.col("words").isNotNull(), F.coalesce("_set", F.array().cast("array<string>"))).alias("words"))

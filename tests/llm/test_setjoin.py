@@ -61,8 +61,27 @@ def test_empty_tables_and_long_texts(spark, rows):
         setjoin.similar_sets(one, None, "key", "v", 0.0)
 
 
-def test_name_words(spark):
-    names = spark.createDataFrame([("tobesel", "tobe"), (None, "x")], "name string, short string")
-    df = spark.createDataFrame([("Tobesel, L.; Ève O'Brien",), ("",), (None,)], "authors string")
-    got = [r[0] for r in df.select(setjoin.name_words(F.col("authors"), names)).collect()]
-    assert got == [["tobe", "ve", "brien"], [], None]
+@pytest.mark.parametrize("literal", [1000, 1])
+def test_name_sets(spark, literal):
+    names = spark.createDataFrame([("robert", "bob"), ("robert", "rob"), ("anna", None), (None, "x"), ("eva", "ev")], "name string, short string")
+    df = spark.createDataFrame([(1, "Robert P. Smith"), (2, "anna, EVA & Robert"), (3, None), (4, " ."), (5, "robert bob")], "_id long, authors string").repartition(3)
+    got = {r["_id"]: None if r["words"] is None else set(r["words"]) for r in setjoin.name_sets(df, "_id", "authors", names, literal).collect()}
+    assert got == {1: {"bob", "smith"}, 2: {"anna", "ev", "bob"}, 3: None, 4: set(), 5: {"bob"}}
+
+
+def test_a_class_of_most_records_and_colliding_hashes(spark, monkeypatch):
+    rows = [(i, [1, 2, 3]) for i in range(300)] + [(1000 + i, [i, i + 1, i + 2, 7]) for i in range(20)]
+    found = setjoin.similar_sets(spark.createDataFrame(rows, "k long, v array<long>"), None, "k", "v", 0.7)
+    links = {r["key"]: (r["class_key"], r["n_links"]) for r in setjoin.record_links(found).collect()}
+    assert links[299] == links[0] and links[0][0] == 0 and len(links) == 320
+    calls = []
+    real = F.xxhash64
+
+    def colliding(*cols):  # the first seed gives every set one hash
+        calls.append(cols)
+        return F.lit(5).cast("long") if len(calls) == 1 else real(*cols)
+
+    monkeypatch.setattr(setjoin.F, "xxhash64", colliding)
+    again = setjoin.similar_sets(spark.createDataFrame(rows, "k long, v array<long>"), None, "k", "v", 0.7)
+    monkeypatch.undo()
+    assert again.members.select("sid").distinct().count() == found.members.select("sid").distinct().count() > 1
