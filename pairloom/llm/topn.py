@@ -4,10 +4,12 @@ Each item has a code that orders it within its group: the score as an order-pres
 number, then the identifier inverted, so that of equal scores the smaller identifier is the greater
 code. For all groups at once a cutoff is refined: rows at or above the middle of each group's
 interval are counted, and the half that cannot hold the cutoff is dropped, until every group holds
-exactly N items. No group is ever sorted.
+exactly N items. Nothing is sorted by score; the rows of groups above N are ordered by identifier once,
+to drop repeats.
 
 First every block of input rows is reduced so, where it lies, to the N best of each of its groups;
-a group with millions of items leaves N rows per block. Only these rows are shuffled.
+a group with millions of items leaves N rows per block. Only these rows are shuffled. A group of which
+very many blocks hold rows is reduced once more in parts, by the hash of the identifier, before its parts meet.
 """
 
 from __future__ import annotations
@@ -21,8 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.sources.scratch import materialize
+
 #: Rows that are bisected at once.
 BLOCK_ROWS = 400_000
+#: Rows of one group that a task takes after the first reduction.
+GROUP_ROWS = 4_000_000
+#: Blocks that an input partition has at most, as a rule.
+PARTITION_BLOCKS = 128
 
 
 def score_code(score: np.ndarray) -> np.ndarray:
@@ -157,6 +165,9 @@ def _reduce_sorted(n: int):
             flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
             fresh = np.ones(len(flat), bool)
             fresh[1:] = pc.not_equal(flat.slice(1), flat.slice(0, len(flat) - 1)).to_numpy(zero_copy_only=False)
+            if "salt" in block.column_names:
+                salt = block["salt"].to_numpy()
+                fresh[1:] |= salt[1:] != salt[:-1]
             codes = np.cumsum(fresh) - 1
             keep = bisect_top(codes, score, ids, n)
             opened = codes == codes[-1] if not last else np.zeros(len(codes), bool)
@@ -177,6 +188,16 @@ def _reduce_sorted(n: int):
     return run
 
 
+def _reduced_in_parts(rows: DataFrame, near: DataFrame, n: int) -> DataFrame:
+    """``near`` with groups of more than :data:`GROUP_ROWS` input rows reduced in as many parts. There are few such groups; they are broadcast."""
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("rows")).where(F.col("rows") > GROUP_ROWS)
+    salts = F.broadcast(materialize(sizes.select("grp", F.ceil(F.col("rows") / GROUP_ROWS).cast("int").alias("salts"))))
+    salted = near.join(salts, "grp").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    parts = salted.repartition("grp", "salt").groupBy("grp", "salt", "id").agg(F.max("score").alias("score"))
+    parts = parts.sortWithinPartitions("grp", "salt").mapInArrow(_reduce_sorted(n), parts.schema)
+    return near.join(salts, "grp", "left_anti").unionByName(parts.select(*near.columns))
+
+
 def top_n_per_group(items: DataFrame, group: str, item: str, score: str, n: int) -> DataFrame:
     """(group, item, score): of every group the ``n`` items with the highest score.
 
@@ -192,6 +213,8 @@ def top_n_per_group(items: DataFrame, group: str, item: str, score: str, n: int)
     rows = items.select(col(group).alias("grp"), col(item).cast("long").alias("id"), col(score).cast("double").alias("score"))
     rows = rows.where(F.col("grp").isNotNull() & F.col("id").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
     near = rows.mapInArrow(_reduce_blocks(n), rows.schema)
+    if n * rows.rdd.getNumPartitions() * PARTITION_BLOCKS > GROUP_ROWS:
+        near = _reduced_in_parts(rows, near, n)
     # Hashed by group alone, the exchange serves the aggregate and the group-wise order too.
     far = near.repartition("grp").groupBy("grp", "id").agg(F.max("score").alias("score"))
     best = far.sortWithinPartitions("grp").mapInArrow(_reduce_sorted(n), far.schema)

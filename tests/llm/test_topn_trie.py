@@ -47,6 +47,23 @@ def test_top_n_of_skewed_groups(spark, rows, monkeypatch, block):
     assert got == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("n", [1, 7, 400])
+def test_heavy_groups_are_reduced_in_parts(spark, rows, monkeypatch, n):
+    monkeypatch.setattr(topn, "GROUP_ROWS", 300)
+    monkeypatch.setattr(topn, "BLOCK_ROWS", 100)
+    r = random.Random(17)
+    data = [("hot" if r.random() < 0.8 else r.choice("abc"), r.randrange(900), float(r.randrange(40))) for _ in range(3000)]
+    df = spark.createDataFrame(data, "g string, i long, s double").repartition(6)
+    best = {}
+    for g, i, x in data:
+        best[g, i] = max(x, best.get((g, i), x))
+    want = []
+    for g in {d[0] for d in data}:
+        mine = sorted(((x, i) for (h, i), x in best.items() if h == g), key=lambda t: (-t[0], t[1]))[:n]
+        want += [(g, i, x) for x, i in mine]
+    assert rows(topn.top_n_per_group(df, "g", "i", "s", n)) == sorted(want, key=repr)
+
+
 def test_top_n_edges(spark, rows):
     schema = "g string, i int, s double"
     assert topn.top_n_per_group(spark.createDataFrame([], schema), "g", "i", "s", 3).collect() == []
