@@ -43,6 +43,7 @@ def numbered_pairs(pairs: DataFrame, chunk_rows: int = 65_536) -> DataFrame:
     placed = materialize(placed.withColumn("place", F.monotonically_increasing_id()))
     part = F.shiftright("place", 33)
     counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    # One task, over one row per partition.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     row_no = F.col("offset") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import operator
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -214,18 +215,34 @@ class EditDistancePredicate(ThresholdPredicate):
         return super().holds(a, b)
 
 
-class JaroPredicate(ThresholdPredicate):
-    sim_name = "jaro"
+class _PairwisePredicate(ThresholdPredicate):
+    """A similarity computed in Python, many pairs at once. Pairs whose lengths rule the threshold out are not handed over."""
+
     python = True
-    _function = staticmethod(similarity.jaro)
+
+    def _score(self) -> Callable[[Column, Column], Column]:
+        raise NotImplementedError
 
     def score(self, a, b) -> Column:
-        return similarity.pairwise(self._function)(a(f"text:{self.index_col}"), b(f"text:{self.search_col}"))
+        return self._score()(a(f"text:{self.index_col}"), b(f"text:{self.search_col}"))
 
+    def holds(self, a, b) -> Column:
+        if self.op not in _UPPER:
+            return super().holds(a, b)
+        x, y = a(f"text:{self.index_col}"), b(f"text:{self.search_col}")
+        bound = similarity.length_bound(x, y, self.sim_name, getattr(self, "prefix_weight", 0.0))
+        return F.coalesce(self.op(self._score()(F.when(bound >= self.val - 1e-9, x), y), F.lit(self.val)), F.lit(False))
 
-class JaroWinklerPredicate(ThresholdPredicate):
+
+class JaroPredicate(_PairwisePredicate):
+    sim_name = "jaro"
+
+    def _score(self):
+        return similarity.pairwise(similarity.jaro_batch, similarity.jaro)
+
+
+class JaroWinklerPredicate(_PairwisePredicate):
     sim_name = "jaro_winkler"
-    python = True
 
     def __init__(self, index_col, search_col, op, val, prefix_weight: float = 0.1):
         super().__init__(index_col, search_col, op, val)
@@ -234,17 +251,15 @@ class JaroWinklerPredicate(ThresholdPredicate):
     def sim(self) -> tuple:
         return (*super().sim(), self.prefix_weight)
 
-    def score(self, a, b) -> Column:
-        weight = self.prefix_weight
-        return similarity.pairwise(lambda x, y: similarity.jaro_winkler(x, y, weight))(a(f"text:{self.index_col}"), b(f"text:{self.search_col}"))
+    def _score(self):
+        return similarity.pairwise(partial(similarity.jaro_winkler_batch, prefix_weight=self.prefix_weight), partial(similarity.jaro_winkler, prefix_weight=self.prefix_weight))
 
     def _again(self, op):
         return type(self)(self.index_col, self.search_col, op, self.val, self.prefix_weight)
 
 
-class SmithWatermanPredicate(ThresholdPredicate):
+class SmithWatermanPredicate(_PairwisePredicate):
     sim_name = "smith_waterman"
-    python = True
 
     def __init__(self, index_col, search_col, op, val, gap_cost: float = 1.0):
         super().__init__(index_col, search_col, op, val)
@@ -253,9 +268,8 @@ class SmithWatermanPredicate(ThresholdPredicate):
     def sim(self) -> tuple:
         return (*super().sim(), self.gap_cost)
 
-    def score(self, a, b) -> Column:
-        gap = self.gap_cost
-        return similarity.pairwise(lambda x, y: similarity.smith_waterman(x, y, gap))(a(f"text:{self.index_col}"), b(f"text:{self.search_col}"))
+    def _score(self):
+        return similarity.pairwise(partial(similarity.smith_waterman_batch, gap_cost=self.gap_cost), partial(similarity.smith_waterman, gap_cost=self.gap_cost))
 
     def _again(self, op):
         return type(self)(self.index_col, self.search_col, op, self.val, self.gap_cost)

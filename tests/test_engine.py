@@ -1,4 +1,5 @@
 import operator
+import random
 from itertools import product
 from pathlib import Path
 
@@ -156,7 +157,7 @@ def test_string_similarities(spark):
     df = spark.createDataFrame([("John Doe", "Jon Doe"), (None, "x"), ("", "")], "a string, b string")
     got = [r[0] for r in df.select(similarity.edit_similarity(F.col("a"), F.col("b"))).collect()]
     assert got == [pytest.approx(7 / 8), None, 1.0]
-    assert [r[0] for r in df.select(similarity.pairwise(similarity.jaro)(F.col("a"), F.col("b"))).collect()][1:] == [None, 1.0]
+    assert [r[0] for r in df.select(similarity.pairwise(similarity.jaro_batch, similarity.jaro)(F.col("a"), F.col("b"))).collect()][1:] == [None, 1.0]
 
 
 def test_tokenizers(spark):
@@ -316,3 +317,22 @@ def test_edit_distance_stops_early_without_another_result(spark, least):
 def test_vocabulary(spark):
     df = spark.createDataFrame([("a b a",), ("B",), (None,), ("",)], "t string")
     assert sorted(map(tuple, WORDS.vocabulary(df, "t").collect())) == [("a", 1, 2), ("b", 2, 2)] and WORDS.nunique_tokens(df, "t") == 2
+
+
+def test_batches_of_pairs_are_compared_as_single_ones():
+    r = random.Random(19)
+    texts = ["", "a", "\U0001f600b", "é", "x" * 40] + ["".join(r.choice("abcd e") for _ in range(r.randrange(1, 30))) for _ in range(60)]
+    pairs = [(x, y) for x in texts for y in texts]
+    a, b = [p[0] for p in pairs], [p[1] for p in pairs]
+    for batch, one in ((similarity.jaro_batch, similarity.jaro), (similarity.jaro_winkler_batch, similarity.jaro_winkler), (similarity.smith_waterman_batch, similarity.smith_waterman)):
+        assert batch(a, b) == pytest.approx([one(*p) for p in pairs])
+    assert similarity.smith_waterman_batch(a, b, 0.3) == pytest.approx([similarity.smith_waterman(*p, 0.3) for p in pairs])
+    assert len(similarity.jaro_batch([], [])) == 0
+
+
+@pytest.mark.parametrize("kind", [P.JaroPredicate, P.JaroWinklerPredicate, P.SmithWatermanPredicate])
+def test_length_bounds_lose_no_pair(tables, rows, kind):
+    for op in (operator.ge, operator.lt):
+        got = rows(Blocker(*tables).pairs(Program([KeepRule([same_year(), kind("t", "t", op, 0.7)])])))
+        one = {"jaro": similarity.jaro, "jaro_winkler": similarity.jaro_winkler, "smith_waterman": similarity.smith_waterman}[kind.sim_name]
+        assert got == sorted(pairs_where(lambda a, b: a[2] is not None and a[2] == b[2] and a[1] is not None and b[1] is not None and op(one(a[1], b[1]), 0.7)), key=repr)  # noqa: B023
