@@ -353,7 +353,7 @@ select id1, id2 from p where x <> '' and y <> '' and {sql_smith_waterman('x', 'y
     "bm25_whitespace": f"select * from {sql_bm25('title', 5, WORDS_SQL)}",
     "in_parts": _sim("jaccard", "3gram", ">=", 0.8) + f" union select id1, id2 from {sql_bm25('title', 2)}",
     "name_match_short": f"with x as {sql_short('table_a')}, y as {sql_short('table_b')} select x._id as id1, y._id as id2 from x join y using (name)",
-    "hash_partition_sums": "select 4 as parts, (select count(*) from table_a) as n_rows, (select count(id) from (select unnest(id1_list) as id from result_lists)) as n_ids",
+    "hash_partition_sums": "select 4 as parts, (select count(*) from table_a) as n_rows, (select count(*) from (select unnest(id1_list) as id from result_lists)) as n_ids",
     "bm25_two_fields_intersect": f"select id1, id2 from {sql_bm25('title', 10)} intersect select id1, id2 from {sql_bm25('description', 20)}",
     "bm25_then_cosine": f"select id1, id2 from {sql_bm25('title', 10)} intersect " + _sim("cosine", "alnum", ">=", 0.6),
     "union_two_rules": _sim("jaccard", "alnum", ">=", 0.7) + f" union select a._id, b._id from table_a a join table_b b on a.year = b.year and {SQL_NAME.format('a.authors')} = {SQL_NAME.format('b.authors')}",
