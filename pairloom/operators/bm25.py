@@ -85,21 +85,26 @@ def _scored(held: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
     _, shares = _flat(rows["shares"])
     part = shares * np.repeat(rows["idf"].to_numpy(), length)
     at = np.repeat(group, length)
-    # A group's lists are ascending each; a stable sort by id merges them.
-    order = np.argsort(ids, kind="stable")
-    order = order[np.argsort(at[order], kind="stable")]
+    # A group's lists are ascending each: a stable sort merges them.
+    low = int(ids.min(initial=0))
+    span = int(ids.max(initial=0)) - low + 1
+    if span * (int(group[-1]) + 1) < 2**62:
+        order = np.argsort(at * span + (ids - low), kind="stable")
+    else:
+        order = np.argsort(ids, kind="stable")
+        order = order[np.argsort(at[order], kind="stable")]
     at, ids, part = at[order], ids[order], part[order]
     first = np.ones(len(ids), bool)
     first[1:] = (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])
     begin = np.flatnonzero(first)
     total = np.add.reduceat(part, begin) if len(begin) else part
     at, ids = at[begin], ids[begin]
-    rank = np.lexsort((-total, at))
-    start = np.searchsorted(at[rank], np.arange(group[-1] + 1))
-    size = np.diff(np.append(start, len(at)))
+    start = np.searchsorted(at, np.arange(group[-1] + 2))
+    size = np.diff(start)
     kth = np.full(len(size), -np.inf)
-    enough = size >= k
-    kth[enough] = total[rank[start[enough] + k - 1]]
+    for g in np.flatnonzero(size >= k).tolist():
+        held_here = total[start[g] : start[g + 1]]
+        kth[g] = np.partition(held_here, len(held_here) - k)[len(held_here) - k]
     rest = rows["rest"].to_numpy()[fresh]
     keep = total + rest[at] >= kth[at] - MARGIN
     at, ids, total = at[keep], ids[keep], total[keep]
