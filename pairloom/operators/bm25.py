@@ -40,11 +40,15 @@ SLICE = 2_000_000
 
 @dataclass(frozen=True)
 class BM25Index:
-    """``postings`` (tok, id1, share), ``lists`` (tok, block, ids, shares) and ``weights`` (tok, df, idf, bound, late); all are written once."""
+    """``postings`` (tok, id1, share), ``lists`` (tok, block, ids, shares) and ``weights`` (tok, df, idf, bound, late); all are written once.
+
+    ``frequent`` (id1, held) has the shares of each record's late tokens as a map.
+    """
 
     postings: DataFrame
     lists: DataFrame
     weights: DataFrame
+    frequent: DataFrame
 
 
 def bm25_index(index: DataFrame, index_col: str, tokenizer: Tokenizer, block_docs: int = BLOCK_DOCS) -> BM25Index:
@@ -63,7 +67,9 @@ def bm25_index(index: DataFrame, index_col: str, tokenizer: Tokenizer, block_doc
     block = F.pmod(F.xxhash64("id1"), F.lit(blocks)).cast("int").alias("block")
     entry = F.array_sort(F.collect_list(F.struct("id1", "share")))
     lists = postings.groupBy("tok", block).agg(entry.alias("e")).select("tok", "block", F.col("e.id1").alias("ids"), F.col("e.share").alias("shares"))
-    return BM25Index(postings, materialize(lists), weights)
+    late_ones = F.broadcast(weights.where("late").select("tok"))  # fewer than tokens per record / FREQUENT
+    frequent = postings.join(late_ones, "tok").groupBy("id1").agg(F.map_from_entries(F.collect_list(F.struct("tok", "share"))).alias("held"))
+    return BM25Index(postings, materialize(lists), weights, materialize(frequent))
 
 
 def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -166,15 +172,22 @@ def bm25_top_k(index: DataFrame | BM25Index, search: DataFrame, index_col: str,
         kth = ranked.groupBy("id2").agg(F.when(F.count("*") >= k, F.min("part")).alias("kth"))
         return near.join(kth, "id2").where(F.coalesce(F.col("part") + F.col("rest") >= F.col("kth") - MARGIN, F.lit(True)))
 
+    def with_frequent(near: DataFrame, queries: DataFrame) -> DataFrame:
+        """The candidates' scores with the late tokens, where these are the frequent ones."""
+        asked_late = queries.where("late").groupBy("id2").agg(F.collect_list(F.struct("tok", "idf")).alias("late"))
+        both = near.select("id1", "id2", "part").join(asked_late, "id2", "left").join(known.frequent, "id1", "left")
+        added = F.aggregate("late", F.lit(0.0), lambda total, x: total + x["idf"] * F.coalesce(F.element_at("held", x["tok"]), F.lit(0.0)))
+        return both.select("id1", "id2", (F.col("part") + F.coalesce(F.when(F.col("held").isNotNull(), added), F.lit(0.0))).alias("part"))
+
     def completed(near: DataFrame, queries: DataFrame) -> DataFrame:
-        """The candidates' scores with the late tokens."""
+        """The candidates' scores with the late tokens, whichever these are."""
         late = near.select("id1", "id2").join(queries.where("late").select("id2", "tok", "idf"), "id2").join(known.postings, ["tok", "id1"])
         late = late.select("id1", "id2", (F.col("idf") * F.col("share")).alias("part"))
         return near.select("id1", "id2", "part").unionByName(late).groupBy("id1", "id2").agg(F.sum("part").alias("part"))
 
     first = materialize(candidates(asked))
     sure = (F.col("rest") == 0.0) | F.coalesce(F.col("kth") > F.col("rest") + MARGIN, F.lit(False))
-    settled = completed(first.where(sure), asked)
+    settled = with_frequent(first.where(sure), asked)
     # Of the other queries only tokens are late that together stay below the k-th score found so far.
     done = first.groupBy("id2").agg(F.max(sure).alias("sure"), F.max("kth").alias("kth"))
     open_ = asked.drop("late").join(done, "id2", "left").where("not coalesce(sure, false)")
