@@ -261,6 +261,15 @@ def test_crowded_keys_in_blocks_lose_no_pair(spark, rows, most):
     assert (crowded_keys(one, two, "key", most) is None) == (most == 10_000)
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+@pytest.mark.parametrize("sim, val", [("jaccard", 0.4), ("cosine", 0.75)])
+def test_similarity_join_with_crowded_tokens_is_whole(spark, tables, rows, monkeypatch, sim, val, few):
+    monkeypatch.setattr("pairloom.operators.skew.FEW_KEYS", few)
+    left, right = (t.select(F.col("_id").alias("sid"), WORDS.token_set(F.col("t")).alias("toks")) for t in tables)
+    want = rows(setsim.similarity_join(left, right, sim, val))
+    assert want and rows(setsim.similarity_join(left, right, sim, val, most=4)) == want
+
+
 def test_parts_and_shared_indexes_and_explain(spark, tables, rows):
     program = Program([KeepRule([jac(0.4)]), KeepRule([P.BM25TopkPredicate("t", "t", "whitespace", 2), same_year()])], [DropRule([jac(0.9)])])
     run = Blocker(*tables, check=True)
