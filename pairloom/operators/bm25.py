@@ -1,12 +1,12 @@
 """BM25 top-k join.
 
-The index keeps postings as lists per token and block of index records. A token that stands in very
-many records adds little to a score, yet most of the work: each query's records are scored by its
-rarer tokens first, list by list over whole arrays. The k-th best of these scores is a lower bound
-of what the k best reach; if the frequent tokens together cannot reach it, no other record can be
-among the k best, and the frequent tokens are looked up for what is left only. For other queries as
-many of the most frequent tokens are looked up last as together stay below that bound, which is
-exact again.
+The index is cut into blocks of records and kept as lists of postings per token and block. It lies in the
+folder all executors share; each task holds whole search records and reads the blocks one after the other,
+so neither postings nor partial scores are shuffled, and a record's k best are final within its task.
+
+Of a record and block the shortest lists are added up first. The k-th best sum so far, or the k-th best
+of the blocks before, is a lower bound of what the k best reach; once all longer lists together cannot
+reach it, no other record can be among the k best, and the longer lists are looked up for what is left only.
 """
 
 from __future__ import annotations
@@ -14,132 +14,269 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+import pyarrow.dataset as ds
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.tokenizers import Tokenizer
-from pairloom.operators.topk import check_k, top_k
-from pairloom.sources.scratch import materialize
+from pairloom.operators.topk import check_k
+from pairloom.sources.scratch import is_dry, materialize, open_folder
 
 K1, B = 1.2, 0.75
-#: Tokens in more than this share of the index records are looked up last.
-FREQUENT = 0.05
 #: Scores are compared after rounding to six places; bounds keep a distance above that.
 MARGIN = 1e-5
-#: Index records in a block. A list of postings has at most so many entries.
-BLOCK_DOCS = 65_536
-#: Queries with a token that are joined with its postings in one task; more are parted.
+#: Index records in a block, and about how many tokens of them.
+BLOCK_DOCS = 262_144
+BLOCK_TOKENS = 4_000_000
+#: Search records that are scored in one pass over the blocks.
 SALT_QUERIES = 20_000
-#: Postings that are scored at once.
+#: Tokens of search records that are scored in one pass over the blocks.
 SLICE = 2_000_000
 
+LISTS = "block int, tok string, n int, docs array<int>, shares array<double>, ids array<long>"
+
 
 @dataclass(frozen=True)
 class BM25Index:
-    """``postings`` (tok, id1, share), ``lists`` (tok, block, ids, shares) and ``weights`` (tok, df, idf, bound, late); all are written once.
+    """``lists`` (block, tok, n, docs, shares, ids), written once, and the number of records with a text.
 
-    ``frequent`` (id1, held) has the shares of each record's late tokens as a map.
+    ``docs`` are a token's ``n`` records, numbered within the block in order of their ids, and ``shares`` what they
+    have of its weight. The row of a block without ``tok`` has the ids of its records.
     """
 
-    postings: DataFrame
     lists: DataFrame
-    weights: DataFrame
-    frequent: DataFrame
+    docs: int
+    blocks: int
 
 
-def bm25_index(index: DataFrame, index_col: str, tokenizer: Tokenizer, block_docs: int = BLOCK_DOCS) -> BM25Index:
-    """Index the records (id, text). Statistics are global over those with a text."""
-    docs = index.select(F.col("id").alias("id1"), tokenizer.tokens(F.col(index_col)).alias("toks")).where("toks is not null")
-    docs = docs.withColumn("dl", F.size("toks"))
-    stats = docs.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    counted = docs.select("id1", "dl", F.explode("toks").alias("tok")).groupBy("tok", "id1", "dl").agg(F.count("*").alias("tf"))
-    share = F.col("tf") / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
-    postings = materialize(counted.crossJoin(F.broadcast(stats)).select("tok", "id1", share.alias("share")))
-    found = postings.groupBy("tok").agg(F.count("*").alias("df"), F.max("share").alias("most")).crossJoin(F.broadcast(stats))
-    idf = F.log(1.0 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    late = F.col("df") > F.col("docs") * FREQUENT
-    weights = materialize(found.select("tok", "df", idf.alias("idf"), (idf * F.col("most")).alias("bound"), late.alias("late")))
-    blocks = max(1, math.ceil(index.count() / block_docs))
-    block = F.pmod(F.xxhash64("id1"), F.lit(blocks)).cast("int").alias("block")
-    entry = F.array_sort(F.collect_list(F.struct("id1", "share")))
-    lists = postings.groupBy("tok", block).agg(entry.alias("e")).select("tok", "block", F.col("e.id1").alias("ids"), F.col("e.share").alias("shares"))
-    late_ones = F.broadcast(weights.where("late").select("tok"))  # fewer than tokens per record / FREQUENT
-    frequent = postings.join(late_ones, "tok").groupBy("id1").agg(F.map_from_entries(F.collect_list(F.struct("tok", "share"))).alias("held"))
-    return BM25Index(postings, materialize(lists), weights, materialize(frequent))
-
-
-def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The lengths of the lists of a column, and their elements."""
-    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
-    return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy()
-
-
-def _scored(held: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
-    """Sums of the postings of whole (query, block) groups; of each group what may be among the k best."""
-    rows = pa.Table.from_batches(held)
-    id2, block = rows["id2"].to_numpy(), rows["block"].to_numpy()
-    fresh = np.ones(len(id2), bool)
-    fresh[1:] = (id2[1:] != id2[:-1]) | (block[1:] != block[:-1])
-    group = np.cumsum(fresh) - 1
-    length, ids = _flat(rows["ids"])
-    _, shares = _flat(rows["shares"])
-    part = shares * np.repeat(rows["idf"].to_numpy(), length)
-    at = np.repeat(group, length)
-    # A group's lists are ascending each: a stable sort merges them.
-    low = int(ids.min(initial=0))
-    span = int(ids.max(initial=0)) - low + 1
-    if span * (int(group[-1]) + 1) < 2**62:
-        order = np.argsort(at * span + (ids - low), kind="stable")
-    else:
+def _block_lists(average: float):
+    """Rows (block, id1, toks) come block by block and become the block's lists."""
+
+    def lists(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = rows["id1"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        order = order[np.argsort(at[order], kind="stable")]
-    at, ids, part = at[order], ids[order], part[order]
-    first = np.ones(len(ids), bool)
-    first[1:] = (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])
-    begin = np.flatnonzero(first)
-    total = np.add.reduceat(part, begin) if len(begin) else part
-    at, ids = at[begin], ids[begin]
-    start = np.searchsorted(at, np.arange(group[-1] + 2))
-    size = np.diff(start)
-    kth = np.full(len(size), -np.inf)
-    for g in np.flatnonzero(size >= k).tolist():
-        held_here = total[start[g] : start[g + 1]]
-        kth[g] = np.partition(held_here, len(held_here) - k)[len(held_here) - k]
-    rest = rows["rest"].to_numpy()[fresh]
-    keep = total + rest[at] >= kth[at] - MARGIN
-    at, ids, total = at[keep], ids[keep], total[keep]
-    return pa.record_batch([pa.array(id2[fresh][at]), pa.array(ids), pa.array(total), pa.array(rest[at])], names=["id2", "id1", "part", "rest"])
-
-
-def _score_groups(k: int):
-    """Rows (id2, block, idf, rest, ids, shares) come group by group."""
+        rows = rows.take(pa.array(order)).combine_chunks()
+        ids = ids[order]
+        toks = pa.concat_arrays(rows["toks"].chunks)
+        length = pc.list_value_length(toks).to_numpy(zero_copy_only=False).astype(np.int64)
+        held = toks.flatten().dictionary_encode()
+        words = held.dictionary
+        code = held.indices.to_numpy().astype(np.int64)
+        n = len(ids)
+        # Token by token, then record by record, with the number of times.
+        both, times = np.unique(code * n + np.repeat(np.arange(n), length), return_counts=True)
+        doc = both % n
+        share = times / (times + K1 * (1.0 - B + B * length[doc] / average))
+        start = np.searchsorted(both // n, np.arange(len(words) + 1)).astype(np.int32)
+        yield batch(block, pa.array([None], pa.string()), np.zeros(2, np.int32), doc[:0], share[:0], np.array([0, n], np.int32), ids)
+        step = 4096
+        for at in range(0, len(words), step):
+            ends = start[at : at + step + 1]
+            part = slice(ends[0], ends[-1])
+            yield batch(block, words.slice(at, step), ends - ends[0], doc[part], share[part], np.zeros(len(ends), np.int32), ids[:0])
+
+    def batch(block, words, ends, doc, share, id_ends, ids) -> pa.RecordBatch:
+        of = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
+        arrays = [pa.array(np.full(len(words), block, np.int32)), words, pa.array(np.diff(ends).astype(np.int32)), of(ends, doc.astype(np.int32)), of(ends, share), of(id_ends, ids)]
+        return pa.record_batch(arrays, names=["block", "tok", "n", "docs", "shares", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        postings = 0
-        for batch in batches:
-            if not batch.num_rows:
+        now = None
+        for rows in batches:
+            block = rows.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and block[a] != now:
+                    yield from lists(now, pa.Table.from_batches(held))
+                    held = []
+                now = int(block[a])
+                held.append(rows.slice(a, b - a))
+        if held:
+            yield from lists(now, pa.Table.from_batches(held))
+
+    return run
+
+
+def bm25_index(index: DataFrame, index_col: str, tokenizer: Tokenizer, block_docs: int = BLOCK_DOCS) -> BM25Index:
+    """Index the records (id, text). Statistics are global over those with a text."""
+    texts = index.select(F.col("id").cast("long").alias("id1"), F.col(index_col).alias("_text")).where("_text is not null")
+    if is_dry():
+        return BM25Index(texts.sparkSession.createDataFrame([], LISTS), 0, 0)
+    stats = texts.select(F.size(tokenizer.tokens(F.col("_text"))).alias("dl")).agg(F.count("*"), F.sum("dl"), F.avg("dl")).first()
+    docs, total, average = stats[0], stats[1] or 0, stats[2] or 1.0
+    blocks = max(1, math.ceil(docs / block_docs), math.ceil(total / BLOCK_TOKENS))
+    # The texts are shuffled, not their tokens.
+    placed = texts.withColumn("block", F.pmod(F.xxhash64("id1"), F.lit(blocks)).cast("int")).repartition(blocks, "block").sortWithinPartitions("block")
+    rows = placed.select("block", "id1", tokenizer.tokens(F.col("_text")).alias("toks"))
+    return BM25Index(materialize(rows.mapInArrow(_block_lists(average or 1.0), LISTS), by="block"), docs, blocks)
+
+
+def _micros(score: np.ndarray) -> np.ndarray:
+    """Scores rounded half up to six places as Spark's round() does, in millionths."""
+    scaled = score * 1e6
+    low = np.floor(scaled)
+    out = np.floor(scaled + 0.5).astype(np.int64)
+    for i in np.flatnonzero(np.abs(scaled - low - 0.5) < 1e-4).tolist():  # the decimal digits tell
+        out[i] = int(Decimal(repr(float(score[i]))).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP))
+    return out
+
+
+def _best(micros: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, -micros))[:k]
+    return micros[order], ids[order]
+
+
+class _Block:
+    """The lists of one block that some search record asks for."""
+
+    def __init__(self, folder: ds.Dataset, wanted: pa.Array, size: int):
+        """``at`` has the place of each wanted token, or -1; ``most`` the largest share in each list."""
+        # The lists are read piece by piece and only those asked for are held.
+        self.at = np.full(size, -1)
+        self.ids = np.zeros(0, np.int64)
+        docs, shares, ends, most = [], [], [np.zeros(1, np.int64)], []
+        lists = 0
+        for rows in folder.to_batches(columns=["tok", "docs", "shares", "ids"], batch_size=8192):
+            whole = rows.filter(pc.is_null(rows.column("tok")))
+            if whole.num_rows:
+                self.ids = whole.column("ids").flatten().to_numpy()
+            code = pc.index_in(rows.column("tok"), wanted)
+            known = pc.and_(pc.is_valid(code), pc.is_valid(rows.column("tok")))
+            code = code.filter(known).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(code):
+                continue
+            kept = rows.filter(known)
+            length = pc.list_value_length(kept.column("docs")).to_numpy(zero_copy_only=False).astype(np.int64)
+            docs.append(kept.column("docs").flatten().to_numpy())
+            shares.append(kept.column("shares").flatten().to_numpy())
+            most.append(np.maximum.reduceat(shares[-1], np.cumsum(length) - length))
+            ends.append(length)
+            self.at[code] = lists + np.arange(len(code))
+            lists += len(code)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.docs, self.shares, self.most = join(docs, np.int32), join(shares, float), join(most, float)
+        self.start = np.cumsum(np.concatenate(ends))
+        self.total = np.zeros(len(self.ids))
+
+    def _kth(self, docs: np.ndarray, sums: np.ndarray, k: int, lists: int) -> float:
+        """A lower bound of the k-th best sum of the distinct ``docs``, each of which is met at most once in each of so many lists."""
+        most = min(len(sums), k * lists)
+        if most < k:
+            return -np.inf
+        top = np.unique(docs[np.argpartition(sums, len(sums) - most)[len(sums) - most :]])
+        if len(top) < k:
+            return -np.inf
+        return float(np.partition(self.total[top], len(top) - k)[len(top) - k])
+
+    def search(self, asked: np.ndarray, idf: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray] | None:
+        """Sums in millionths and ids of the records that may be among the ``k`` best, at most ``k``; ``least`` is a lower bound of their sums."""
+        at = self.at[asked]
+        asked, at = asked[at >= 0], at[at >= 0]
+        if not len(at):
+            return None
+        begin, end = self.start[at], self.start[at + 1]
+        order = np.argsort(end - begin, kind="stable")
+        begin, end, weight = begin[order].tolist(), end[order].tolist(), idf[asked[order]].tolist()
+        bound = idf[asked[order]] * self.most[at[order]]
+        rest = (np.cumsum(bound[::-1])[::-1]).tolist()  # of this list and all longer ones
+        if rest[0] < least - MARGIN:
+            return None
+        total, met, seen, done, n = self.total, [], 0, 0, len(begin)
+        checked = 0
+        while done < n:
+            # The bound of the sums rises with the lists that are added; it is looked for where it may pay.
+            if done and rest[done] < rest[0] - rest[done] and end[done] - begin[done] > 64 and seen >= k and seen > checked * 2:
+                checked = seen
+                met = [np.concatenate(met)]
+                least = max(least, self._kth(met[0], total[met[0]], k, done))
+            if rest[done] < least - MARGIN:
+                break
+            docs = self.docs[begin[done] : end[done]]
+            total[docs] += weight[done] * self.shares[begin[done] : end[done]]
+            met.append(docs)
+            seen += len(docs)
+            done += 1
+        late = rest[done] if done < n else 0.0
+        docs = np.concatenate(met) if met else np.zeros(0, np.int32)
+        sums = total[docs]
+        least = max(least, self._kth(docs, sums, k, done))
+        near = np.unique(docs[sums >= least - late - MARGIN])
+        sums = total[near]
+        total[docs] = 0.0
+        for i in range(done, n):
+            listed = self.docs[begin[i] : end[i]]
+            place = np.searchsorted(listed, near)
+            place[place == len(listed)] = 0
+            sums += np.where(listed[place] == near, weight[i] * self.shares[begin[i] : end[i]][place], 0.0)
+        if len(sums) > k:
+            keep = sums >= np.partition(sums, len(sums) - k)[len(sums) - k] - MARGIN
+            near, sums = near[keep], sums[keep]
+        return _best(_micros(sums), self.ids[near], k)
+
+
+def _search(path: str, blocks: int, docs: int, k: int, most_queries: int, most_tokens: int):
+    """Rows (id2, toks) become the k best (id1, id2, score, rank) of each."""
+
+    def answered(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        id2 = rows["id2"].to_numpy()
+        toks = pa.concat_arrays(rows["toks"].chunks)
+        start = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False))])
+        words = toks.flatten().dictionary_encode()
+        code, wanted = words.indices.to_numpy(), words.dictionary
+        folders = [open_folder(f"{path}/block={i}") for i in range(blocks)]
+        df = np.zeros(len(wanted))
+        for folder in folders:
+            for part in folder.to_batches(columns=["tok", "n"]) if folder is not None and len(wanted) else ():
+                at = pc.index_in(part.column("tok"), wanted)
+                known = pc.and_(pc.is_valid(at), pc.is_valid(part.column("tok")))
+                df[at.filter(known).to_numpy(zero_copy_only=False)] += part.column("n").filter(known).to_numpy(zero_copy_only=False)
+        idf = np.log(1.0 + (docs - df + 0.5) / (df + 0.5))
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for folder in folders if len(wanted) else ():
+            if folder is None:
                 continue
-            held.append(batch)
-            postings += int(pc.sum(pc.list_value_length(batch.column("ids"))).as_py() or 0)
-            if postings < SLICE:
+            block = _Block(folder, wanted, len(wanted))
+            for i in range(len(id2)):
+                known = best.get(i)
+                least = known[0][-1] / 1e6 if known is not None and len(known[0]) == k else -np.inf
+                found = block.search(code[start[i] : start[i + 1]], idf, k, least)
+                if found is None:
+                    continue
+                if known is not None:
+                    found = _best(np.concatenate([known[0], found[0]]), np.concatenate([known[1], found[1]]), k)
+                best[i] = found
+        held_by = [i for i in best if len(best[i][0])]
+        for a in range(0, len(held_by), 1000):
+            part = held_by[a : a + 1000]
+            sizes = [len(best[i][0]) for i in part]
+            score = np.concatenate([best[i][0] for i in part]) / 1e6
+            rank = np.concatenate([np.arange(1, n + 1) for n in sizes]).astype(np.int32)
+            ids = np.concatenate([best[i][1] for i in part])
+            yield pa.record_batch([pa.array(ids), pa.array(np.repeat(id2[part], sizes)), pa.array(score), pa.array(rank)], names=["id1", "id2", "score", "rank"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        queries = tokens = 0
+        for rows in batches:
+            if not rows.num_rows:
                 continue
-            # The last group may go on: it waits for the next batch.
-            rows = pa.Table.from_batches(held).combine_chunks()
-            id2, block = rows["id2"].to_numpy(), rows["block"].to_numpy()
-            last = int(np.flatnonzero((id2 != id2[-1]) | (block != block[-1])).max(initial=-1)) + 1
-            if last:
-                yield _scored(rows.slice(0, last).to_batches(), k)
-            held = rows.slice(last).to_batches()
-            postings = int(pc.sum(pc.list_value_length(rows["ids"].slice(last))).as_py() or 0)
+            held.append(rows)
+            queries += rows.num_rows
+            tokens += pc.sum(pc.list_value_length(rows.column("toks"))).as_py() or 0
+            if queries >= most_queries or tokens >= most_tokens:
+                yield from answered(held)
+                held, queries, tokens = [], 0, 0
         if held:
-            yield _scored(held, k)
+            yield from answered(held)
 
     return run
 
@@ -149,50 +286,14 @@ def bm25_top_k(index: DataFrame | BM25Index, search: DataFrame, index_col: str,
 
     Statistics are global over the index records with a text. Each distinct query token counts once.
     Scores are rounded to six places before ranking; equal ones go to the smaller id1. The result is
-    exact. The index and first candidates are computed when this is called.
+    exact. The index and the result are computed when this is called.
     """
     check_k(k)
     known = index if isinstance(index, BM25Index) else bm25_index(index, index_col, tokenizer)
-    asked = search.select(F.col("id").alias("id2"), F.explode(tokenizer.token_set(F.col(search_col))).alias("tok"))
-    asked = materialize(asked.join(known.weights, "tok"))
-
-    def candidates(queries: DataFrame) -> DataFrame:
-        """(id1, id2, part, kth, rest): scores by the tokens not marked late, the k-th of them, what late tokens can add."""
-        rest = queries.groupBy("id2").agg(F.sum(F.when(F.col("late"), F.col("bound")).otherwise(0.0)).alias("rest"))
-        early = queries.where("not late").join(rest, "id2").select("id2", "tok", "idf", "rest")
-        # A token that many queries have is parted, and its postings go with every part.
-        parts = early.groupBy("tok").agg(F.ceil(F.count("*") / salt_queries).cast("int").alias("parts"))
-        lists = known.lists.join(parts, "tok").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        crowded = parts.where("parts > 1")
-        spread = early.join(crowded, "tok", "left").withColumn("part", F.pmod(F.xxhash64("id2"), F.coalesce("parts", F.lit(1))).cast("int"))
-        met = spread.drop("parts").join(lists.drop("parts"), ["tok", "part"]).select("id2", "block", "idf", "rest", "ids", "shares")
-        placed = met.repartition("id2", "block").sortWithinPartitions("id2", "block")
-        near = materialize(placed.mapInArrow(_score_groups(k), "id2 long, id1 long, part double, rest double"))
-        ranked = top_k(near, k, score="part")
-        kth = ranked.groupBy("id2").agg(F.when(F.count("*") >= k, F.min("part")).alias("kth"))
-        return near.join(kth, "id2").where(F.coalesce(F.col("part") + F.col("rest") >= F.col("kth") - MARGIN, F.lit(True)))
-
-    def with_frequent(near: DataFrame, queries: DataFrame) -> DataFrame:
-        """The candidates' scores with the late tokens, where these are the frequent ones."""
-        asked_late = queries.where("late").groupBy("id2").agg(F.collect_list(F.struct("tok", "idf")).alias("late"))
-        both = near.select("id1", "id2", "part").join(asked_late, "id2", "left").join(known.frequent, "id1", "left")
-        added = F.aggregate("late", F.lit(0.0), lambda total, x: total + x["idf"] * F.coalesce(F.element_at("held", x["tok"]), F.lit(0.0)))
-        return both.select("id1", "id2", (F.col("part") + F.coalesce(F.when(F.col("held").isNotNull(), added), F.lit(0.0))).alias("part"))
-
-    def completed(near: DataFrame, queries: DataFrame) -> DataFrame:
-        """The candidates' scores with the late tokens, whichever these are."""
-        late = near.select("id1", "id2").join(queries.where("late").select("id2", "tok", "idf"), "id2").join(known.postings, ["tok", "id1"])
-        late = late.select("id1", "id2", (F.col("idf") * F.col("share")).alias("part"))
-        return near.select("id1", "id2", "part").unionByName(late).groupBy("id1", "id2").agg(F.sum("part").alias("part"))
-
-    first = materialize(candidates(asked))
-    sure = (F.col("rest") == 0.0) | F.coalesce(F.col("kth") > F.col("rest") + MARGIN, F.lit(False))
-    settled = with_frequent(first.where(sure), asked)
-    # Of the other queries only tokens are late that together stay below the k-th score found so far.
-    done = first.groupBy("id2").agg(F.max(sure).alias("sure"), F.max("kth").alias("kth"))
-    open_ = asked.drop("late").join(done, "id2", "left").where("not coalesce(sure, false)")
-    upto = Window.partitionBy("id2").orderBy("bound", "tok").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    late = F.coalesce(F.sum("bound").over(upto) < F.col("kth") - MARGIN, F.lit(False))
-    again = materialize(open_.select("id2", "tok", "idf", "bound", late.alias("late")))
-    both = settled.unionByName(completed(candidates(again), again))
-    return top_k(both.select("id1", "id2", F.round("part", 6).alias("score")), k)
+    texts = search.select(F.col("id").cast("long").alias("id2"), F.col(search_col).alias("_text")).where("_text is not null")
+    # As many tasks as the session shuffles with, however few files the texts lie in.
+    tasks = max(int(search.sparkSession.conf.get("spark.sql.shuffle.partitions")), search.sparkSession.sparkContext.defaultParallelism)
+    asked = texts.repartition(tasks, "id2").select("id2", tokenizer.token_set(F.col("_text")).alias("toks"))
+    path = "" if is_dry() else known.lists.inputFiles()[0].rsplit("/block=", 1)[0] if known.docs else ""
+    found = asked.mapInArrow(_search(path, known.blocks if path else 0, known.docs, k, salt_queries, SLICE), "id1 long, id2 long, score double, rank int")
+    return materialize(found)
