@@ -4,8 +4,8 @@ The index is cut into blocks of records and kept as lists of postings per token
 folder all executors share; each task holds whole search records and reads the blocks one after the other,
 so neither postings nor partial scores are shuffled, and a record's k best are final within its task.
 
-Of a record and block the shortest lists are added up first. The k-th best sum so far, or the k-th best
-of the blocks before, is a lower bound of what the k best reach; once all longer lists together cannot
+Of a record and block the shortest lists are added up first. The whole scores of the k best so far, or
+of the blocks before, are a lower bound of what the k best reach; once all longer lists together cannot
 reach it, no other record can be among the k best, and the longer lists are looked up for what is left only.
 """
 
@@ -164,18 +164,49 @@ class _Block:
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.docs, self.shares, self.most = join(docs, np.int32), join(shares, float), join(most, float)
         self.start = np.cumsum(np.concatenate(ends))
-        self.total = np.zeros(len(self.ids))
+        self.total, self.laid = np.zeros(len(self.ids)), np.zeros(len(self.ids))
+        self.mark = np.zeros(len(self.ids), np.int64)
 
     def _kth(self, docs: np.ndarray, sums: np.ndarray, k: int, lists: int) -> float:
         """A lower bound of the k-th best sum of the distinct ``docs``, each of which is met at most once in each of so many lists."""
         most = min(len(sums), k * lists)
         if most < k:
             return -np.inf
-        top = np.unique(docs[np.argpartition(sums, len(sums) - most)[len(sums) - most :]])
+        top = self._distinct(docs[np.argpartition(sums, len(sums) - most)[len(sums) - most :]])
         if len(top) < k:
             return -np.inf
         return float(np.partition(self.total[top], len(top) - k)[len(top) - k])
 
+    def _distinct(self, docs: np.ndarray) -> np.ndarray:
+        place = np.arange(len(docs))
+        self.mark[docs] = place
+        return docs[self.mark[docs] == place]
+
+    def _part(self, docs: np.ndarray, begin: int, end: int, weight: float) -> np.ndarray:
+        """What one list adds to each of ``docs``."""
+        listed, shares = self.docs[begin:end], self.shares[begin:end]
+        if len(docs) * 20 > len(listed):  # many: the list is laid out
+            self.laid[listed] = shares
+            out = weight * self.laid[docs]
+            self.laid[listed] = 0.0
+            return out
+        place = np.searchsorted(listed, docs)
+        place[place == len(listed)] = 0
+        return np.where(listed[place] == docs, weight * shares[place], 0.0)
+
+    def _whole(self, docs: np.ndarray, sums: np.ndarray, k: int, done: int, begin: list, end: list, weight: list) -> float:
+        """The k-th best of the whole sums of the records that are best so far: a lower bound near the true one."""
+        most = min(len(sums), k * done)
+        best = self._distinct(docs[np.argpartition(sums, len(sums) - most)[len(sums) - most :]])
+        if len(best) < k:
+            return -np.inf
+        so_far = self.total[best]
+        best = np.sort(best[np.argpartition(so_far, len(best) - k)[len(best) - k :]])
+        whole = self.total[best]
+        for i in range(done, len(begin)):
+            whole += self._part(best, begin[i], end[i], weight[i])
+        return float(whole.min())
+
     def search(self, asked: np.ndarray, idf: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray] | None:
         """Sums in millionths and ids of the records that may be among the ``k`` best, at most ``k``; ``least`` is a lower bound of their sums."""
         at = self.at[asked]
@@ -192,11 +223,11 @@ class _Block:
         total, met, seen, done, n = self.total, [], 0, 0, len(begin)
         checked = 0
         while done < n:
-            # The bound of the sums rises with the lists that are added; it is looked for where it may pay.
-            if done and rest[done] < rest[0] - rest[done] and end[done] - begin[done] > 64 and seen >= k and seen > checked * 2:
+            # The best so far are summed up whole each time that four times as many records are met.
+            if done and end[done] - begin[done] > 64 and seen >= k and seen > max(checked * 4, len(self.ids) // 50):
                 checked = seen
                 met = [np.concatenate(met)]
-                least = max(least, self._kth(met[0], total[met[0]], k, done))
+                least = max(least, self._whole(met[0], total[met[0]], k, done, begin, end, weight))
             if rest[done] < least - MARGIN:
                 break
             docs = self.docs[begin[done] : end[done]]
@@ -208,14 +239,13 @@ class _Block:
         docs = np.concatenate(met) if met else np.zeros(0, np.int32)
         sums = total[docs]
         least = max(least, self._kth(docs, sums, k, done))
-        near = np.unique(docs[sums >= least - late - MARGIN])
+        near = self._distinct(docs[sums >= least - late - MARGIN])
         sums = total[near]
         total[docs] = 0.0
         for i in range(done, n):
-            listed = self.docs[begin[i] : end[i]]
-            place = np.searchsorted(listed, near)
-            place[place == len(listed)] = 0
-            sums += np.where(listed[place] == near, weight[i] * self.shares[begin[i] : end[i]][place], 0.0)
+            keep = sums >= least - rest[i] - MARGIN
+            near, sums = near[keep], sums[keep]
+            sums += self._part(near, begin[i], end[i], weight[i])
         if len(sums) > k:
             keep = sums >= np.partition(sums, len(sums) - k)[len(sums) - k] - MARGIN
             near, sums = near[keep], sums[keep]

@@ -48,3 +48,19 @@ def test_empty_tables(spark):
     none, one = spark.createDataFrame([], "id long, t string"), spark.createDataFrame([(1, "a")], "id long, t string")
     for a, b in ((none, one), (one, none), (none, none)):
         assert bm25_top_k(a, b, "t", "t", WhiteSpaceTokenizer(), 2).count() == 0
+
+
+def test_postings_are_not_shuffled(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{r.randrange(100)}" for _ in range(6))) for i in range(2000)]
+    a, b = spark.createDataFrame(rows, "id long, t string"), spark.createDataFrame([(5000 + i, t) for i, t in rows], "id long, t string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        held = store.executorList(False)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    before = written()
+    assert bm25_top_k(a, b, "t", "t", WhiteSpaceTokenizer(), 3).where("rank = 1").count() == 2000
+    assert 0 < written() - before < 1_000_000
