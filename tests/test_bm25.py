@@ -111,6 +111,13 @@ def test_rules_of_searches_and_filters_are_exact(spark, lookup, monkeypatch):
     assert run([[by_t], [by_u, near]], [[differ]]) == sorted(x for x in first | {x for x in second if cosine(t[x[0]], t[x[1]]) >= 0.5} if u[x[1]] is None or u[x[0]] == u[x[1]])
 
 
+def test_pairs_of_two_searches_are_not_shuffled(spark):
+    *_, a, b = works(spark, 3000, 6)
+    keep = [BM25TopkPredicate("t", "t", "whitespace", 10), BM25TopkPredicate("u", "u", "whitespace", 20)]
+    _, written = written_by(spark, lambda: Blocker(a, b).pairs(Program([KeepRule(keep)])).count())
+    assert 0 < written < 900_000
+
+
 def test_tokens_of_searched_pairs_are_not_shuffled(spark):
     *_, a, b = works(spark, 3000, 7)
     keep = [BM25TopkPredicate("t", "t", "whitespace", 10), CosinePredicate("t", "t", WhiteSpaceTokenizer(), operator.ge, 0.6)]
