@@ -1,7 +1,7 @@
 """Lowering of a program to one DataFrame of pairs.
 
 :meth:`Blocker.pairs` is lazy but for the tables that similarity and BM25 joins read several times: indexes of A, which a
-blocker keeps and uses again, and prepared search records. :meth:`Blocker.explain` runs nothing.
+blocker keeps and uses again, prepared search records, and candidates of similarity joins. :meth:`Blocker.explain` runs nothing.
 
 Producers give candidate pairs, each tagged with the producers it came from. The features that the
 remaining predicates need are joined on once, rules are evaluated in three-valued logic reduced to
