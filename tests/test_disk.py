@@ -60,3 +60,11 @@ def test_rounds_of_tokens_lose_no_pair(spark, rows, monkeypatch):
         monkeypatch.setattr(setsim, "PASS", 500)
         monkeypatch.setattr(setsim, "WORDS", 100)
         assert want and rows(setsim.similarity_join(one, two, "jaccard", 0.6).select("s1", "s2")) == want
+
+
+def test_tables_without_sets_match_nothing(spark):
+    one, _ = texts(spark, 20, 3)
+    none = one.where("sid < 0")
+    empty = one.withColumn("toks", F.when(F.col("sid") % 2 == 0, F.array().cast("array<string>")))
+    for a, b in ((none, one), (one, none), (none, none), (empty, one), (one, empty)):
+        assert setsim.similarity_join(a, b, "jaccard", 0.5).count() == 0
